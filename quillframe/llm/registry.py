@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from quillframe.llm import langid, packing
+from quillframe.llm import langid, minhash, mixing, packing, urlfilter
 
 
 def queries() -> dict:
     return {
         "op2_language_id": langid.query,
         "op3_packing": packing.query,
+        "op4_mixing": mixing.query,
+        "op7_minhash": minhash.query,
+        "op9_url_filter": urlfilter.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_mixing": mixing.ORACLE_SQL,
+        "op7_minhash": minhash.ORACLE_SQL,
+        "op9_url_filter": urlfilter.ORACLE_SQL,
+    }

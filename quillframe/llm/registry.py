@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillframe.llm import langid, media, minhash, mixing, packing, toxicity, urlfilter, warc
+from quillframe.llm import ann, langid, media, minhash, mixing, packing, toxicity, urlfilter, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_language_id": langid.query,
         "op3_packing": packing.query,
         "op4_mixing": mixing.query,
+        "op5_ann": ann.query,
         "op6_toxicity": toxicity.query,
         "op7_minhash": minhash.query,
         "op8_media": media.query,

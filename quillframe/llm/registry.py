@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillframe.llm import ann, langid, media, minhash, mixing, packing, toxicity, urlfilter, warc
+from quillframe.llm import ann, langid, media, minhash, mixing, packing, quality, toxicity, urlfilter, warc
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_minhash": minhash.query,
         "op8_media": media.query,
         "op9_url_filter": urlfilter.query,
+        "op10_quality": quality.query,
     }
 
 

@@ -228,7 +228,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     pick = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     ids = F.broadcast(pick[0].union(pick[1]))  # 2 * per_class rows at most
     rows = docs.where(F.octet_length(text) <= max_bytes).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(ids, "doc_id")
-    sample = rows.select("doc_id", "text", "y").toPandas().sort_values(["doc_id", "text"])
+    sample = rows.select("doc_id", "text", "y").toArrow().to_pandas().sort_values(["doc_id", "text"])
     return train(sample["text"].tolist(), sample["y"].to_numpy())
 
 

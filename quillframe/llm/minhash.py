@@ -11,6 +11,7 @@ of colliding sets are confirmed exactly, in blocks of bounded size.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -210,7 +211,7 @@ def near_duplicates(
     links = _links(base, classes, clusters, words, percent)
     found = connected_components(links)
     of = classes.join(found, classes["rep"] == found["node"], "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
-    of = of.groupBy("n", "d1", "d2").agg(F.min("component_id").alias("component_id"))
+    of = materialize(of, "components")  # a plain side, so that a hot set's rows can be split in the join
     out = signed.select("doc_id", "n", "d1", "d2").join(of, ["n", "d1", "d2"], "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
@@ -219,8 +220,7 @@ def near_duplicates(
 def _links(base: DataFrame, classes: DataFrame, clusters: DataFrame, words: int, percent: int) -> DataFrame:
     """Confirmed links among the members of each cluster.
 
-    A cluster is divided by set size (linked sets differ by one step of 17 % at
-    most) and each division into blocks of bounded size; every two blocks that
+    A cluster is divided by set size (linked sets are at most one step apart) and each division into blocks of bounded size; every two blocks that
     can hold a link meet in one task.
     """
     size = classes.groupBy("rep").agg(F.max("n").alias("n"))
@@ -228,7 +228,7 @@ def _links(base: DataFrame, classes: DataFrame, clusters: DataFrame, words: int,
     members = materialize(members, "members")
     blocks = lambda docs, shingles: F.ceil(F.greatest(docs / F.lit(BLOCK_DOCS), shingles / F.lit(BLOCK_SHINGLES))).cast("int")
     whole = members.groupBy("cluster").agg(F.count("*").alias("c"), F.sum("n").alias("t")).select("cluster", blocks(F.col("c"), F.col("t")).alias("all"))
-    placed = members.join(whole, "cluster").withColumn("step", F.when(F.col("all") <= 1, 0).otherwise(F.floor(F.log("n") / 0.17)).cast("int"))
+    placed = members.join(whole, "cluster").withColumn("step", F.when(F.col("all") <= 1, 0).otherwise(F.floor(F.log("n") / (-1.03 * math.log(percent / 100)))).cast("int"))
     placed = materialize(placed, "placed")
     per = placed.groupBy("cluster", "step").agg(F.count("*").alias("c"), F.sum("n").alias("t")).select("cluster", "step", blocks(F.col("c"), F.col("t")).alias("nb"))
     around = per
@@ -242,7 +242,8 @@ def _links(base: DataFrame, classes: DataFrame, clusters: DataFrame, words: int,
         if(below is null, array(), transform(sequence(0, below - 1), x -> xxhash64(cluster, step - 1, bigint(x), step, b)))))"""
     dealt = dealt.select("rep", F.explode(F.expr(tasks)).alias("task"))
     reps = members.select("rep").distinct()
-    texts = base.join(reps, base["doc_id"] == reps["rep"]).select("rep", "text")
+    # Members grow with the input: a merge join at every size.
+    texts = base.join(reps.hint("merge"), base["doc_id"] == reps["rep"]).select("rep", "text")
     sent = dealt.join(texts, "rep").repartition("task").sortWithinPartitions("task")
     return sent.select("task", "rep", "text").mapInArrow(lambda it: confirmed_links(it, words, percent), "a long, b long")
 

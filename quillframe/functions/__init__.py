@@ -1 +1 @@
-
+"""Column functions over text, tokens, lines and paths."""

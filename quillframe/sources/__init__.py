@@ -1 +1 @@
-
+"""Scans, writers and manifests of document collections."""

@@ -7,7 +7,7 @@ are trained together by gradient descent on passages of labelled documents. A
 document's label says only that some passage is toxic: after each round the
 passages of toxic documents are labelled anew, only those that score as toxic,
 and the best one of each document, stay positive. A document's score is that of
-its most toxic passage, calibrated on the training documents.
+its most toxic passage, calibrated on labelled documents that did not train.
 
 With the softmax frozen, the dot product of each embedding with it is one number,
 so that whole texts are scored by sums of table lookups.
@@ -145,7 +145,13 @@ class ToxicityModel:
 
 def train(texts: list[str], labels: np.ndarray, *, rounds: int = 5, epochs: int = 2, rate: float = 30.0, batch: int = 512, seed: int = 5) -> ToxicityModel:
     """Joint gradient descent on embeddings and softmax over passages; without both classes every score is that of the only one."""
-    labels = np.asarray(labels)
+    labels, every = np.asarray(labels), texts
+    rest = np.arange(len(labels)) % 4 == 3  # calibrates only
+    if len(set(labels[rest])) == 2 and len(set(labels[~rest])) == 2:
+        unseen = utf8_bytes(pa.array([t for t, r in zip(every, rest) if r], pa.large_string())), labels[rest]
+        texts, labels = [t for t, r in zip(every, rest) if not r], labels[~rest]
+    else:
+        unseen = None
     if len(labels) == 0 or labels.min() == labels.max():
         only = bool(len(labels) and labels.min() == 1)
         return ToxicityModel(np.zeros((1 << BITS) + 1), 0.0, -4.0 if only else 4.0, 1.0)
@@ -203,10 +209,11 @@ def train(texts: list[str], labels: np.ndarray, *, rounds: int = 5, epochs: int
         used = ~toxic | (score >= best[row]) | (score > limit)
         used &= ~toxic | (score > np.median(score[clean]))
     model = ToxicityModel(value.astype(np.float64), float(c[1] - c[0]), 0.0, 1.0)
+    (data, offs), labels = unseen or ((data, offs), labels)
     top = model.logits(data, offs)
-    # The cut with the least error, a false alarm counting five times; in the gap around it, nearer to the toxic side.
+    # The cut with the least error, a false alarm counting five times; the middle of the gap around it.
     cut = np.unique(top)
-    cut = np.concatenate([[cut[0] - 1], 0.65 * cut[1:] + 0.35 * cut[:-1]])
+    cut = np.concatenate([[cut[0] - 1], (cut[1:] + cut[:-1]) / 2])
     bad = np.searchsorted(np.sort(top[labels == 1]), cut) / max(1, (labels == 1).sum())
     false = 1 - np.searchsorted(np.sort(top[labels == 0]), cut) / max(1, (labels == 0).sum())
     err = bad + 5 * false

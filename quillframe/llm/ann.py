@@ -199,7 +199,10 @@ def search(
     probing = probing.select("v1", "v2", "x", F.lit(None).cast("array<long>").alias("members"), F.xxhash64("key", "part").alias("task"), F.lit(True).alias("probe"))
     sent = index.unionByName(probing).repartition("task").sortWithinPartitions("task")
     found = sent.mapInArrow(lambda it: _visit(it, dim, k + 1), FOUND)
-    found = materialize(found.groupBy("q1", "q2", "c1", "c2").agg(F.max("score").alias("score"), F.any_value("members").alias("members")), "found")
+    found = found.groupBy("q1", "q2", "c1", "c2").agg(F.max("score").alias("score"), F.any_value("members").alias("members"))
+    # Each class has a member, so those of k + 1 classes hold the k nearest of every query of a class.
+    nearest = F.row_number().over(Window.partitionBy("q1", "q2").orderBy(F.desc("score"), F.get("members", F.lit(0))))
+    found = materialize(found.withColumn("n", nearest).where(F.col("n") <= k + 1).drop("n"), "found")
     top = _nearest(asked, found, k)
     total = rows.select("vec_id").distinct().count()
     met = top.groupBy("query_id").agg(F.count("*").alias("c"))

@@ -113,7 +113,7 @@ class PpmModel:
         return np.add.reduceat(each, first, axis=0, dtype=np.float64)
 
 
-def fit(docs: DataFrame, *, text: str = "text", label: str = "lang", order: int = 3, max_grams: int = 400_000) -> PpmModel:
+def fit(docs: DataFrame, *, text: str = "text", label: str = "lang", order: int = 3, max_grams: int = 200_000) -> PpmModel:
     """Count contexts over all rows with text and label, and freeze their code lengths.
 
     Counts are taken over every given row. ``max_grams`` bounds what comes to the
@@ -129,7 +129,7 @@ def fit(docs: DataFrame, *, text: str = "text", label: str = "lang", order: int
         .orderBy(F.desc("n"), "label", "gram")
         .limit(max_grams)
     )
-    return freeze(grams.toPandas(), order)
+    return freeze(grams.toArrow().to_pandas(), order)
 
 
 def freeze(grams: pd.DataFrame, order: int) -> PpmModel:

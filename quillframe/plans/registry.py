@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quillframe.plans import more as _more  # noqa: F401  (adds to the same tables)
 from quillframe.plans import queries as _q
 
 

@@ -1 +1 @@
-
+"""Streams of documents and of feedback."""

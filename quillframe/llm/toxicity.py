@@ -143,8 +143,8 @@ class ToxicityModel:
         return 1.0 / (1.0 + np.exp(-np.clip((self.logits(data, offs) - self.middle) * self.scale, -60, 60)))
 
 
-def train(texts: list[str], labels: np.ndarray, *, rounds: int = 5, epochs: int = 2, rate: float = 30.0, batch: int = 512, seed: int = 5) -> ToxicityModel:
-    """Joint gradient descent on embeddings and softmax over passages; without both classes every score is that of the only one."""
+def train(texts: list[str], labels: np.ndarray, *, rounds: int = 5, epochs: int = 2, least: int = 60_000, rate: float = 30.0, batch: int = 512, seed: int = 5) -> ToxicityModel:
+    """Joint gradient descent on embeddings and softmax over passages, at least ``least`` of them a round; without both classes every score is that of the only one."""
     labels, every = np.asarray(labels), texts
     rest = np.arange(len(labels)) % 4 == 3  # calibrates only
     if len(set(labels[rest])) == 2 and len(set(labels[~rest])) == 2:
@@ -156,16 +156,40 @@ def train(texts: list[str], labels: np.ndarray, *, rounds: int = 5, epochs: int
         only = bool(len(labels) and labels.min() == 1)
         return ToxicityModel(np.zeros((1 << BITS) + 1), 0.0, -4.0 if only else 4.0, 1.0)
     data, offs = utf8_bytes(pa.array(texts, pa.large_string()))
-    size, starts, rows, grams = ngrams(data, offs)
-    at = np.concatenate([g[0] for g in grams])
-    bucket = np.concatenate([g[1] for g in grams]).astype(np.int32)
-    order = np.argsort(at, kind="stable")
-    at, bucket = at[order], bucket[order]
-    row, a, z = passages(rows, len(texts))
-    edge = np.searchsorted(at, np.append(starts, size))
-    lo, hi = edge[a], edge[z]
-    some = hi > lo
-    row, lo, hi = row[some], lo[some], hi[some]
+    # By slices, so that only buckets and passage bounds are held for the whole sample.
+    buckets, rows_of, los, his, spans = [], [], [], [], []
+    held = 0
+    df = np.zeros((1 << BITS) + 1, np.int64)
+    for i, j in row_slices(offs, 1 << 18):
+        size, starts, rows, grams = ngrams(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+        at = np.concatenate([g[0] for g in grams]) if grams else np.zeros(0, np.int64)
+        bucket = np.concatenate([g[1] for g in grams]).astype(np.int32) if grams else np.zeros(0, np.int32)
+        order = np.argsort(at, kind="stable")
+        at, bucket = at[order], bucket[order]
+        inside = np.searchsorted(offs[i : j + 1] - offs[i] + np.arange(j - i + 1), at, "right") - 1
+        df += np.bincount(np.unique(bucket.astype(np.int64) * (j - i + 1) + inside) // (j - i + 1), minlength=len(df))
+        row, a, z = passages(rows, j - i)
+        edge = np.searchsorted(at, np.append(starts, size))
+        some = edge[z] > edge[a] if len(row) else np.zeros(0, bool)
+        spans.append((sum(map(len, rows_of)), held, len(bucket)))
+        rows_of.append(row[some] + i)
+        los.append(edge[a][some] + held)
+        his.append(edge[z][some] + held)
+        buckets.append(bucket)
+        held += len(bucket)
+    row, lo, hi, bucket = (np.concatenate(x) for x in (rows_of, los, his, buckets))
+    del buckets
+    # N-grams of fewer than three documents are no evidence of either class.
+    bucket[df[bucket] < 3] = 1 << BITS
+    spans = [(k[0], nxt[0], k[1], k[2]) for k, nxt in zip(spans, [*spans[1:], (len(row), 0, 0)])]
+
+    def scored(value: np.ndarray, bias: float) -> np.ndarray:
+        out = np.empty(len(row))
+        for a, z, h, n in spans:
+            sums = np.concatenate([[0.0], np.cumsum(value[bucket[h : h + n]], dtype=np.float64)])
+            out[a:z] = (sums[hi[a:z] - h] - sums[lo[a:z] - h]) / (hi[a:z] - lo[a:z]) + bias
+        return out
+
     rng = np.random.default_rng(seed)
     e = np.zeros(((1 << BITS) + 1, DIM), np.float32)
     w = rng.normal(0, 1, (DIM, 2)).astype(np.float32)
@@ -178,8 +202,10 @@ def train(texts: list[str], labels: np.ndarray, *, rounds: int = 5, epochs: int
         neg = rng.permutation(clean)[:25_000]
         if r:  # with the clean passages that score highest
             neg = np.union1d(neg[:15_000], clean[np.argsort(-score[clean], kind="stable")[:10_000]])
-        for epoch in range(epochs):
-            pick = rng.permutation(np.concatenate([pos, neg]))
+        both = np.concatenate([pos, neg])
+        passes = max(epochs, -(-least // max(1, len(both))))
+        for epoch in range(passes):
+            pick = rng.permutation(both)
             for s in range(0, len(pick), batch):
                 p = pick[s : s + batch]
                 n = hi[p] - lo[p]
@@ -190,7 +216,7 @@ def train(texts: list[str], labels: np.ndarray, *, rounds: int = 5, epochs: int
                 q = np.exp(logit - logit.max(1, keepdims=True))
                 q /= q.sum(1, keepdims=True)
                 q[np.arange(len(p)), target[p].astype(int)] -= 1
-                step = rate * (1 - 0.7 * (r * epochs + epoch) / (rounds * epochs))
+                step = rate * (1 - 0.7 * (r + epoch / passes) / rounds)
                 back = (q @ w.T) / n[:, None].astype(np.float32)
                 w -= 0.01 * step * (mean.T @ q) / len(p)
                 c -= 0.01 * step * q.mean(0)
@@ -200,14 +226,13 @@ def train(texts: list[str], labels: np.ndarray, *, rounds: int = 5, epochs: int
                     e[near, d] -= step * np.bincount(inv, back[own, d], len(near)).astype(np.float32) / 8
                 e[-1] = 0
         value = e @ (w[:, 1] - w[:, 0])
-        sums = np.concatenate([[0.0], np.cumsum(value[bucket], dtype=np.float64)])
-        score = (sums[hi] - sums[lo]) / (hi - lo) + float(c[1] - c[0])
+        score = scored(value, float(c[1] - c[0]))
         # The best passage of each toxic document, and every other that scores as toxic, are positive from now on.
         best = np.full(len(labels), -np.inf)
         np.maximum.at(best, row, score)
         limit = np.quantile(score[clean], 0.995)
         used = ~toxic | (score >= best[row]) | (score > limit)
-        used &= ~toxic | (score > np.median(score[clean]))
+        used &= ~toxic | (score > np.quantile(score[clean], 0.98))  # else nothing in the document is like the others' toxic passages
     model = ToxicityModel(value.astype(np.float64), float(c[1] - c[0]), 0.0, 1.0)
     (data, offs), labels = unseen or ((data, offs), labels)
     top = model.logits(data, offs)
@@ -224,7 +249,7 @@ def train(texts: list[str], labels: np.ndarray, *, rounds: int = 5, epochs: int
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = 2000, max_bytes: int = 16_384) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = 2000, max_bytes: int = 8_192) -> ToxicityModel:
     """Train on a bounded sample of labelled rows.
 
     The sample is ``per_class`` ids of each class, those with the smallest hash,

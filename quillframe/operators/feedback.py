@@ -13,7 +13,7 @@ from quillframe.shared import ship
 
 
 def matched_accepts(shown: DataFrame, learned: DataFrame, keys: Sequence[str], within: str = "2 minutes") -> DataFrame:
-    """(keys.., shown_id, event_id, gap): for each learn event the latest row shown before it, at most ``within`` ago; a shown row serves one event.
+    """(keys.., shown_id, event_id, gap in whole seconds): for each learn event the latest row shown before it, at most ``within`` ago; a shown row serves one event.
 
     An interval join on equal keys. Of the events that a shown row could serve
     the first takes it.
@@ -23,7 +23,7 @@ def matched_accepts(shown: DataFrame, learned: DataFrame, keys: Sequence[str], w
     hit = s.join(e, list(keys)).where((F.col("s_ts") <= F.col("e_ts")) & (F.col("e_ts") <= F.col("s_ts") + F.expr(f"INTERVAL {within}")))
     last = hit.withColumn("r", F.row_number().over(Window.partitionBy("event_id").orderBy(F.desc("s_ts"), F.desc("shown_id")))).where("r = 1")
     one = last.withColumn("r", F.row_number().over(Window.partitionBy("shown_id").orderBy("e_ts", "event_id"))).where("r = 1")
-    return one.select(*keys, "shown_id", "event_id", (F.unix_seconds("e_ts") - F.unix_seconds("s_ts")).alias("gap"))
+    return one.select(*keys, "shown_id", "event_id", F.expr("timestampdiff(SECOND, s_ts, e_ts)").alias("gap"))
 
 
 def accept_rates(events: DataFrame, ts: str, kind: str, width: str = "1 day") -> DataFrame:

@@ -34,7 +34,7 @@ def src_mult(spark, sf_dir):
 WITH s AS (SELECT user_id, event_id AS shown_id, ts AS s_ts FROM events WHERE event_type = 'view'), e AS (SELECT user_id, event_id, ts AS e_ts FROM events WHERE event_type IN ('purchase', 'click')),
 h AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY s_ts DESC, shown_id DESC) AS r FROM s JOIN e USING (user_id) WHERE s_ts <= e_ts AND e_ts <= s_ts + INTERVAL 120 MINUTE),
 o AS (SELECT *, row_number() OVER (PARTITION BY shown_id ORDER BY e_ts, event_id) AS q FROM h WHERE r = 1)
-SELECT user_id, shown_id, event_id, (epoch_us(e_ts) // 1000000 - epoch_us(s_ts) // 1000000)::BIGINT AS gap FROM o WHERE q = 1
+SELECT user_id, shown_id, event_id, ((epoch_us(e_ts) - epoch_us(s_ts)) // 1000000)::BIGINT AS gap FROM o WHERE q = 1
 """)
 def accept_interval_join(spark, sf_dir):
     """Each click or purchase with the view it follows within two hours."""

@@ -15,7 +15,13 @@ from quillframe.operators import symbols as S
 from quillframe.operators import tables as T
 from quillframe.plans.queries import INDEX, LINES, MASK, NORM, PARTS, RAW, TOKENS, TOP, query, table, texts
 
-KIND = F.when(F.col("event_type") == "purchase", "a").when(F.col("event_type") == "error", "r")
+
+
+def kind():
+    """``a`` for accepted, ``r`` for rejected, else null."""
+    return F.when(F.col("event_type") == "purchase", "a").when(F.col("event_type") == "error", "r")
+
+
 KIND_SQL = "CASE event_type WHEN 'purchase' THEN 'a' WHEN 'error' THEN 'r' END"
 
 
@@ -27,7 +33,7 @@ SELECT source, acc, rej, round(least(greatest(((acc + 4) / (acc + rej + 8)::DOUB
 def src_mult(spark, sf_dir):
     """Accept rate of each source over the global one."""
     e = table(spark, sf_dir, "events").withColumn("src", (F.col("user_id") % 10).cast("string"))
-    return T.source_multiplier(e, "src", KIND).withColumn("mult", F.round("mult", 9))
+    return T.source_multiplier(e, "src", kind()).withColumn("mult", F.round("mult", 9))
 
 
 @query("""
@@ -49,14 +55,14 @@ SELECT start, count(*) FILTER (k = 'a') AS acc, count(*) FILTER (k = 'r') AS rej
 """)
 def accept_rate_windows(spark, sf_dir):
     """Accept rate of each day."""
-    e = table(spark, sf_dir, "events").withColumn("kind", KIND)
+    e = table(spark, sf_dir, "events").withColumn("kind", kind())
     return B.accept_rates(e, "ts", "kind").withColumn("rate", F.round("rate", 9))
 
 
 @query("SELECT event_id, user_id::VARCHAR AS source, value AS score, (props->>'$.k')::BIGINT AS k FROM events WHERE event_type IN ('purchase', 'error')")
 def journal_events(spark, sf_dir):
     """Feedback events with their JSON properties read."""
-    e = table(spark, sf_dir, "events").where(KIND.isNotNull())
+    e = table(spark, sf_dir, "events").where(kind().isNotNull())
     return e.select("event_id", F.col("user_id").cast("string").alias("source"), F.col("value").alias("score"), F.from_json("props", "k long")["k"].alias("k"))
 
 
@@ -196,7 +202,7 @@ def satisfies(spark, sf_dir):
 @query()
 def source_weights(spark, sf_dir):
     """Trained weights of sources from feedback events."""
-    e = table(spark, sf_dir, "events").withColumn("kind", KIND).where("kind IS NOT NULL")
+    e = table(spark, sf_dir, "events").withColumn("kind", kind()).where("kind IS NOT NULL")
     return B.source_weights(e.select((F.col("user_id") % 10).cast("string").alias("source"), F.col("value").alias("score"), (F.col("event_id") % 4).cast("int").alias("rank"), (F.col("kind") == "a").cast("int").alias("accepted"), "ts"))
 
 

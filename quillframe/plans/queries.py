@@ -33,8 +33,9 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(spark, sf_dir: str) -> DataFrame:
-    """Distinct documents (doc_id, text, lang, source)."""
-    return C.distinct_texts(table(spark, sf_dir, "documents"), "doc_id", "text", "lang", "source")
+    """Distinct documents (doc_id, text, lang, source), dealt evenly: a file of one row group would leave lexing to one task."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return C.distinct_texts(table(spark, sf_dir, "documents").repartition(n, "doc_id"), "doc_id", "text", "lang", "source")
 
 
 def lexed(spark, sf_dir: str) -> DataFrame:

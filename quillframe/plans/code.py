@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillframe.functions import cursor as U
+from quillframe.operators import complete as O
 from quillframe.operators import decode as D
+from quillframe.operators import evaluate as E
 from quillframe.operators import facts as A
 from quillframe.operators import lines as L
 from quillframe.operators import tables as T
 from quillframe.plans.more import _foreign_sql
-from quillframe.plans.queries import EXPLODED, INDEX, ORDER, PARTS, TOP, WORDS, X, _last, lexed, model, query, table, texts
+from quillframe.plans.queries import EXPLODED, INDEX, LINES, NORM, ORDER, PARTS, TOP, WORDS, X, _last, lexed, model, query, table, texts
+from quillframe.shared import materialize
 
 _SCALARS = ", ".join(f"'{s}'" for s in U.SCALARS)
 _AFTER = ", ".join(f"'{s}'" for s in U.OPERAND_AFTER)
@@ -131,3 +135,44 @@ def cursor_parts(spark, sf_dir):
     """What stands at the end of each page: open block, literals, imports."""
     h = F.col("html")
     return table(spark, sf_dir, "pages").select("page_id", F.array_join(U.enclosing_block(h), "\n").alias("block"), F.array_join(U.literals_before(h), "\n").alias("literals"), F.array_join(U.import_paths(h), "\n").alias("imports"), U.trailing_name(h).alias("part"))
+
+
+@query(f"""
+WITH {LINES}, ix AS (SELECT line, count(*) AS cnt FROM kl WHERE doc_id % 5 <> 0 GROUP BY line),
+c AS (SELECT *, {NORM("substr(line, 1, (4 + (pos * 7 + length(line)) % (length(line) - 6))::INT)")} AS prefix FROM kl WHERE doc_id % 5 = 0 AND length(line) >= 8),
+p AS (SELECT DISTINCT prefix FROM c WHERE strlen(prefix) >= 2), h AS (SELECT prefix, substr(line, length(prefix) + 1) AS rest, cnt FROM p JOIN ix ON starts_with(line, prefix) WHERE strlen(substr(line, length(prefix) + 1)) >= 2),
+r AS (SELECT * FROM (SELECT *, {TOP('prefix', 'cnt DESC, rest')} AS rnk FROM h) WHERE rnk <= 4),
+q AS (SELECT lang, doc_id, pos, max(CASE WHEN rnk = 1 AND starts_with(rest, substr(line, length(c.prefix) + 1)) THEN 1 ELSE 0 END) AS h1, max(CASE WHEN starts_with(rest, substr(line, length(c.prefix) + 1)) THEN 1 ELSE 0 END) AS hk FROM c LEFT JOIN r USING (prefix) GROUP BY ALL)
+SELECT lang, count(*) AS n, round(avg(h1), 9) AS hit1, round(avg(hk), 9) AS hitk FROM q GROUP BY lang
+""")
+def eval_held_out(spark, sf_dir):
+    """How often lines of every fifth document are completed from the others."""
+    rates = E.held_out_rates(texts(spark, sf_dir), F.col("doc_id") % 5 == 0, "lang")
+    return rates.withColumns({"hit1": F.round("hit1", 9), "hitk": F.round("hitk", 9)})
+
+
+@query()
+def tuned_weights(spark, sf_dir):
+    """Weights of two sources, the same document and all others, tuned on every fifth document."""
+    d = texts(spark, sf_dir)
+    held = F.col("doc_id") % 5 == 0
+    cut = E.cuts(d.where(held)).withColumn("query_id", F.concat_ws("/", "doc_id", "pos"))
+    every = E.answers(cut, L.line_index(d.where(~held))).where("text IS NOT NULL")
+    own = L.kept_lines(d.where(held)).select("doc_id", F.col("pos").alias("p"), "line", F.substring("line", 1, 4).alias("g"))
+    near = cut.withColumn("g", F.substring("prefix", 1, 4)).join(own, ["doc_id", "g"]).where("p != pos AND startswith(line, prefix)")
+    near = near.select("query_id", F.expr("substring(line, length(prefix) + 1)").alias("text"), F.lit("file").alias("source"), F.lit(1.0).alias("score"), "truth").distinct()
+    cands = materialize(every.select("query_id", "text", F.lit("corpus").alias("source"), (1.0 / F.col("rnk")).alias("score"), "truth").unionByName(near), "candidates")
+    weights, _ = E.tune(cands, {"file": [0.25, 0.6, 1.5, 4.0], "corpus": [0.25, 0.6, 1.5, 4.0]})
+    return spark.createDataFrame(sorted(weights.items()), "source string, weight double")
+
+
+@query()
+def complete_lines(spark, sf_dir):
+    """The four best continuations, over all sources, of the first eight characters of each document's last line."""
+    d = texts(spark, sf_dir)
+    index, bigrams = materialize(L.line_index(d), "index"), materialize(L.line_grams(d, 1), "bigrams")
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    at = L.kept_lines(d, "doc_id", "text", "lang").withColumns({"prev1": F.lag("line").over(w), "r": F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("pos")))}).where("r = 1")
+    q = at.select(F.col("doc_id").alias("query_id"), F.concat(F.lit("d"), "doc_id").alias("doc"), "lang", F.substring("line", 1, 8).alias("prefix"), "prev1", F.lit("").alias("rest"), F.lit("").alias("tail"))
+    facts = materialize(A.extract(d.select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "text")), "facts")
+    return O.complete(q, index, bigrams, facts).withColumn("score", F.round("score", 6))

@@ -113,12 +113,11 @@ class PpmModel:
         return np.add.reduceat(each, first, axis=0, dtype=np.float64)
 
 
-def fit(docs: DataFrame, *, text: str = "text", label: str = "lang", order: int = 3, max_grams: int = 200_000) -> PpmModel:
+def fit(docs: DataFrame, *, text: str = "text", label: str = "lang", order: int = 3) -> PpmModel:
     """Count contexts over all rows with text and label, and freeze their code lengths.
 
-    Counts are taken over every given row. ``max_grams`` bounds what comes to the
-    driver: the most frequent runs of ``order`` + 1 bytes over all labels (ties to
-    the smaller label and run). No usable row gives a model without labels.
+    Every run of ``order`` + 1 bytes of every label is kept, so what comes to the
+    driver is a row for each different one. No usable row gives a model without labels.
     """
     ship(docs.sparkSession)
     known = docs.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(F.col(label).alias("label"), F.col(text).alias("text"))
@@ -126,8 +125,6 @@ def fit(docs: DataFrame, *, text: str = "text", label: str = "lang", order: int
         known.mapInArrow(lambda it: count_grams(it, order, "label", "text"), "label string, gram long, n long")
         .groupBy("label", "gram")
         .agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "label", "gram")
-        .limit(max_grams)
     )
     return freeze(grams.toArrow().to_pandas(), order)
 
@@ -170,7 +167,7 @@ def freeze(grams: pd.DataFrame, order: int) -> PpmModel:
     cost = np.zeros((total * width, len(labels)), np.float32)
     for li in range(len(labels)):
         mine = lab == li
-        n = np.zeros((total, width), np.float32)
+        n = np.zeros((total, width))  # float32 would lose single counts beside 2**24
         for k in range(order + 1):
             at = base[k] + np.searchsorted(known[k], packed[k][mine])
             np.add.at(n, (at, s[mine, -1]), counts[mine])

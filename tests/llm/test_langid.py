@@ -91,6 +91,18 @@ def test_no_rows_and_no_labels(spark):
     assert empty.select(langid.predict(empty, langid.fit(docs)).alias("p")).count() == 0
 
 
+def test_rare_language_is_kept_whole_beside_a_hot_one(spark):
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz0123"))
+    hot = "".join(letters[np.random.default_rng(1).integers(0, len(letters), 300_000)])
+    rare = "ÅÄÖ ÆØ ÞÐ"
+    assert len({hot[i : i + 4] for i in range(len(hot) - 3)}) > 200_000  # each twice in the two rows below
+    docs = spark.createDataFrame([(1, hot, "hot", 0.0), (2, hot, "hot", 0.0), (3, rare, "rare", 0.0)], SCHEMA)
+    model = langid.fit(docs)
+    assert model.labels == ["hot", "rare"]
+    assert np.allclose(model.code_lengths(*utf8_bytes(pa.array([rare])))[:, 1], plain_lengths([rare], {"rare": [rare]}, 3)[:, 0], rtol=1e-5)
+    assert docs.where("doc_id = 3").select(langid.predict(docs, model).alias("p")).head()["p"]["lang_pred"] == "rare"
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.query(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").where("held_out")

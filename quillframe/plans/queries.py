@@ -157,7 +157,7 @@ def masked_adapt(spark, sf_dir):
     """Continuations of like-shaped lines for every line's first half, names renamed."""
     idx = L.line_index(texts(spark, sf_dir))
     contexts = idx.select(F.expr("substring(line, 1, length(line) div 2)").alias("prefix")).distinct().withColumn("query_id", F.xxhash64("prefix"))
-    return L.masked_adapt(contexts, L.masked_index(idx.where("cnt > 1")))
+    return L.masked_adapt(contexts, L.masked_index(idx))
 
 
 @query(f"""

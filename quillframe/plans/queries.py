@@ -304,9 +304,9 @@ di AS MATERIALIZED (SELECT n, CASE WHEN n1 * n2 * n3 = 0 THEN 0.5::DOUBLE ELSE l
 ROWS = "ro AS MATERIALIZED (SELECT n, ctx, sum(cnt)::BIGINT AS tot, any_value(d1) * count(*) FILTER (cnt = 1) + any_value(d2) * count(*) FILTER (cnt = 2) + any_value(d3) * count(*) FILTER (cnt >= 3) AS gamma FROM st JOIN di USING (n) GROUP BY n, ctx)"
 
 
-def model(spark, sf_dir):
-    raw = materialize(N.raw_counts(lexed(spark, sf_dir), ORDER + 1), "raw")
-    stored = materialize(N.stored_counts(raw, ORDER), "stored")
+def model(spark, sf_dir, order=ORDER):
+    raw = materialize(N.raw_counts(lexed(spark, sf_dir), order + 1), "raw")
+    stored = materialize(N.stored_counts(raw, order), "stored")
     disc = N.discounts(stored)
     return raw, stored, disc, N.context_rows(stored, disc)
 
@@ -360,9 +360,9 @@ def kn_prob(spark, sf_dir):
     return N.score(_last(lx), stored, disc, rows, v, ORDER).select("query_id", F.round("p", 9).alias("p"))
 
 
-def _last(lx: DataFrame) -> DataFrame:
+def _last(lx: DataFrame, order: int = ORDER) -> DataFrame:
     t = lx.select("doc_id", F.filter("toks", lambda x: x != X.END).alias("t")).where(F.size("t") > 0)
-    return t.select(F.col("doc_id").alias("query_id"), F.expr(f"slice(t, greatest(size(t) - {ORDER - 1}, 1), least(size(t) - 1, {ORDER - 1}))").alias("ctx"), F.element_at("t", -1).alias("tok"))
+    return t.select(F.col("doc_id").alias("query_id"), F.expr(f"slice(t, greatest(size(t) - {order - 1}, 1), least(size(t) - 1, {order - 1}))").alias("ctx"), F.element_at("t", -1).alias("tok"))
 
 
 @query(

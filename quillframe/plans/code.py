@@ -169,7 +169,7 @@ def tuned_weights(spark, sf_dir):
 
 @query()
 def complete_lines(spark, sf_dir):
-    """The four best continuations, over all sources, of the first eight characters of each document's last line."""
+    """The four best continuations, over the sources the README names, of the first eight characters of each document's last line."""
     d = texts(spark, sf_dir)
     index, bigrams = materialize(L.line_index(d), "index"), materialize(L.line_grams(d, 1), "bigrams")
     w = Window.partitionBy("doc_id").orderBy("pos")

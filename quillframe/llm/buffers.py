@@ -27,6 +27,26 @@ def utf8_bytes(arr) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
+def trim() -> None:
+    """Give freed memory back to the system: a worker process stays for later tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        import ctypes
+
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
+def arrow_path(path: str):
+    """(Arrow file system, path in it) of a path in Spark's spelling."""
+    from pyarrow import fs
+
+    if "://" not in path:
+        path = "file://" + path.removeprefix("file:")
+    return fs.FileSystem.from_uri(path)
+
+
 def row_slices(offs: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``limit`` bytes; a longer row is a range of its own."""
     n, i = len(offs) - 1, 0
@@ -65,3 +85,34 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x81DADEF4BC2DD44D)
     x ^= x >> np.uint64(33)
     return x
+
+
+def pieces(offs: np.ndarray, limit: int) -> Iterator[tuple[int, int, np.ndarray, int]]:
+    """(first byte, end byte, row of each byte, first row) of runs of at most ``limit`` bytes, rows cut where they must be."""
+    for a in range(0, int(offs[-1]), limit):
+        z = min(int(offs[-1]), a + limit)
+        i = int(np.searchsorted(offs, a, "right")) - 1
+        j = int(np.searchsorted(offs, z, "left"))
+        inside = np.diff(np.clip(offs[i : j + 1], a, z))
+        yield a, z, np.repeat(np.arange(i, j), inside), i
+
+
+def in_one_task(sample, fn) -> dict[str, np.ndarray]:
+    """Arrays by name that ``fn`` makes of the rows of ``sample``, as an Arrow table, in one executor task.
+
+    The sample must be bounded. Only the arrays come to the driver.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
+            return
+        made = fn(pa.Table.from_batches(held))
+        del held
+        trim()
+        for name, x in made.items():
+            x = np.ascontiguousarray(x)
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([x.dtype.str]), pa.array([list(x.shape)], pa.list_(pa.int64())), pa.array([x.tobytes()], pa.binary())], ["name", "kind", "shape", "data"])
+
+    rows = sample.repartition(1).mapInArrow(run, "name string, kind string, shape array<long>, data binary").toArrow().to_pylist()
+    return {r["name"]: np.frombuffer(r["data"], r["kind"]).reshape(r["shape"]) for r in rows}

@@ -10,19 +10,20 @@ are scored too.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.llm.buffers import mix64, row_slices, utf8_bytes
+from quillframe.llm.buffers import in_one_task, mix64, pieces, row_slices, utf8_bytes
 from quillframe.llm.minhash import word_hashes
-from quillframe.shared import materialize, ship
+from quillframe.shared import materialize, release, ship
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
+PIECE_BYTES = 1 << 22
 BITS = 16
 LABELLERS = ("capitals", "symbols", "shouting", "separators", "distinct_words", "word_length", "sentences", "distinct_lines", "tripled_marks", "repeated_words")
 LEAST_WORDS = 5
@@ -37,60 +38,71 @@ _KIND[[33, 46, 63]] = 5
 _KIND[[34, 39, 40, 41, 44, 45, 58, 59]] = 7  # marks of ordinary prose
 
 
-def statistics(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
-    """Counts and ratios of each row."""
+def statistics(data: np.ndarray, offs: np.ndarray, piece: int = PIECE_BYTES) -> dict[str, np.ndarray]:
+    """Counts and ratios of each row; bytes are read ``piece`` at a time, with no effect of a row on another."""
     n = len(offs) - 1
-    row = np.repeat(np.arange(n), np.diff(offs))
-    kind = _KIND[data]
-    kind = np.where((data >= 0x80) & (data <= 0xBF) & (np.concatenate([[0], data[:-1]]) == 0xC3) & (data <= 0x9E), 1, kind) if len(data) else kind
-    count = np.bincount(row * 8 + kind, minlength=8 * n).reshape(n, 8).astype(np.float64)
-    letters = count[:, 0] + count[:, 1]
-    h, wo = word_hashes(data, offs)
+    h, wo = word_hashes(data, offs, piece)
     words = np.diff(wo).astype(np.float64)
     distinct = np.array([len(np.unique(h[wo[i] : wo[i + 1]])) for i in range(n)], np.float64)
-    double = np.zeros(len(data), bool)
-    double[1:] = (data[1:] == 33) & (data[:-1] == 33)
-    mark = (kind >= 5) & (data != 46) if len(data) else double
-    triple = np.zeros(len(data), bool)
-    if len(data) > 2:
-        run = mark[2:] & (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2])
-        triple[2:] = run
-        triple[2:][1:] &= ~(run[:-1] & (data[2:-1] == data[3:]))  # once for each run
-    word_row = np.repeat(np.arange(n), np.diff(wo))
     said = np.zeros(len(h), bool)
-    if len(h):
-        said[1:] = (h[1:] == h[:-1]) & (word_row[1:] == word_row[:-1])
-    bar = data == 124
-    per = lambda m: np.bincount(row[m], minlength=n).astype(np.float64)
-    # Lines: hash sums between line ends.
-    value = mix64(data.astype(np.uint64) + np.uint64(1) + (np.arange(len(data), dtype=np.uint64) - np.repeat(_line_starts(data, offs), 1)) * np.uint64(257)) if len(data) else np.zeros(0, np.uint64)
+    said[1:] = h[1:] == h[:-1]
+    said[wo[:-1][np.diff(wo) > 0]] = False
+    count, tallies = np.zeros((n, 8)), np.zeros((3, n))
+    line_row, line_hash, line_at = [], [], 0
+    for a, z, row, _ in pieces(offs, piece):
+        # Three bytes before the piece decide on its first ones.
+        low = max(0, a - 3)
+        back = a - low
+        x = data[low:z]
+        r = np.concatenate([np.searchsorted(offs, np.arange(low, a), "right") - 1, row])
+        kind = _KIND[x]
+        accented = np.zeros(len(x), bool)
+        accented[1:] = (x[:-1] == 0xC3) & (x[1:] >= 0x80) & (x[1:] <= 0x9E)
+        kind = np.where(accented, 1, kind)
+        double, run = np.zeros(len(x), bool), np.zeros(len(x), bool)
+        double[1:] = (x[1:] == 33) & (x[:-1] == 33) & (r[1:] == r[:-1])
+        run[2:] = (kind[2:] >= 5) & (x[2:] != 46) & (x[2:] == x[1:-1]) & (x[1:-1] == x[:-2]) & (r[2:] == r[:-2])
+        triple = run.copy()
+        triple[1:] &= ~(run[:-1] & (r[1:] == r[:-1]))  # once for each run
+        count += np.bincount(row * 8 + kind[back:], minlength=8 * n).reshape(n, 8)
+        for k, mark in enumerate((double[back:], x[back:] == 124, triple[back:])):
+            tallies[k] += np.bincount(row[mark], minlength=n)
+        # Lines by sums of mixed bytes and places; a line may go on from the piece before.
+        y = data[a:z]
+        first = np.zeros(len(y), bool)
+        first[1:] = (y[:-1] == 10) | (row[1:] != row[:-1])
+        fresh = a == 0 or data[a - 1] == 10 or bool(np.any(offs == a))
+        first[0] = True
+        starts = np.flatnonzero(first)
+        place = np.arange(len(y)) - np.repeat(starts, np.diff(np.append(starts, len(y))))
+        place[: starts[1] if len(starts) > 1 else len(y)] += 0 if fresh else a - line_at
+        if fresh or len(starts) > 1:
+            line_at = a + int(starts[-1])
+        each = np.add.reduceat(mix64(y.astype(np.uint64) + np.uint64(1) + place.astype(np.uint64) * np.uint64(257)), starts)
+        if not fresh:
+            line_hash[-1][-1] += each[0]
+            each, starts = each[1:], starts[1:]
+        if len(starts):
+            line_row.append(row[starts])
+            line_hash.append(each)
     lines, unique_lines = np.ones(n), np.ones(n)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(value, dtype=np.uint64)])
-    ends = np.flatnonzero(data == 10)
-    for i in range(n):
-        a, z = offs[i], offs[i + 1]
-        cut = np.concatenate([[a], ends[np.searchsorted(ends, a) : np.searchsorted(ends, z)] + 1, [z]])
-        cut = cut[np.concatenate([[True], cut[1:] > cut[:-1]])]
-        if len(cut) > 2:
-            v = sums[cut[1:]] - sums[cut[:-1]]
-            lines[i], unique_lines[i] = len(v), len(np.unique(v))
+    if line_row:
+        owner, value = np.concatenate(line_row), np.concatenate(line_hash)
+        lines = np.maximum(1.0, np.bincount(owner, minlength=n))
+        order = np.lexsort((value, owner))
+        o, v = owner[order], value[order]
+        new = np.concatenate([[True], (o[1:] != o[:-1]) | (v[1:] != v[:-1])])
+        unique_lines = np.maximum(1.0, np.bincount(o[new], minlength=n))
+    letters = count[:, 0] + count[:, 1]
+    word_row = np.repeat(np.arange(n), np.diff(wo))
     least = lambda x: np.maximum(x, 1)
     return {
-        "words": words, "capitals": count[:, 1] / least(letters), "symbols": count[:, 6] / least(np.diff(offs)), "shouting": per(double) / least(words), "separators": per(bar) / least(words),
+        "words": words, "capitals": count[:, 1] / least(letters), "symbols": count[:, 6] / least(np.diff(offs)), "shouting": tallies[0] / least(words), "separators": tallies[1] / least(words),
         "distinct_words": distinct / least(words), "word_length": letters / least(words), "sentences": count[:, 5] / least(words), "distinct_lines": unique_lines / lines, "lines": lines,
-        "tripled_marks": per(triple) / least(words), "repeated_words": np.bincount(word_row, said, n) / least(words),
+        "tripled_marks": tallies[2] / least(words), "repeated_words": np.bincount(word_row, said, n) / least(words),
     }
 
 
-def _line_starts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """For every byte, where its line starts."""
-    start = np.zeros(len(data), np.int64)
-    first = np.unique(np.concatenate([offs[:-1][np.diff(offs) > 0], np.flatnonzero(data == 10)[:-1] + 1 if len(data) and data[-1] == 10 else np.flatnonzero(data == 10) + 1]))
-    first = first[first < len(data)]
-    start[first] = first
-    return np.maximum.accumulate(start).astype(np.uint64)
-
-
 def votes(s: dict[str, np.ndarray]) -> np.ndarray:
     """(row, labeller): 1 good, -1 bad, 0 no opinion. Texts of few words get no opinion on ratios of words."""
     some, many = s["words"] >= LEAST_WORDS, s["words"] >= 30
@@ -154,26 +166,32 @@ def expectation_maximisation(pattern: np.ndarray, count: np.ndarray, rounds: int
     return model
 
 
-def features(data: np.ndarray, offs: np.ndarray, s: dict[str, np.ndarray]):
-    """(row, bucket) arrays of hashed features, one pair for each kind: shape runs, byte trigrams, binned statistics."""
+KINDS = ((4, "shape"), (3, "bytes"))
+
+
+def features(data: np.ndarray, offs: np.ndarray, s: dict[str, np.ndarray], piece: int = PIECE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(kind, rows, buckets) of hashed features: shape runs and byte trigrams a piece at a time, then binned statistics."""
     n = len(offs) - 1
-    row = np.repeat(np.arange(n), np.diff(offs))
-    mask = np.uint32((1 << BITS) - 1)
-    out = []
-    shape = np.where(_KIND[data] >= 5, data, _KIND[data]).astype(np.uint32)
-    for k, (codes, size) in enumerate(((shape, 4), (data.astype(np.uint32), 3))):
-        if len(codes) < size:
-            continue
-        h = np.full(len(codes) - size + 1, 0x9E3779B1 + k, np.uint32)
-        for d in range(size):
-            h = (h ^ codes[d : len(codes) - size + 1 + d]) * np.uint32(0x85EBCA6B)
-        h ^= h >> np.uint32(15)
-        whole = row[: len(h)] == row[size - 1 :]
-        out.append((row[: len(h)][whole], ((h * np.uint32(0xC2B2AE35)) >> np.uint32(32 - BITS) & mask)[whole].astype(np.int64)))
-    bins = {k: np.minimum(31, np.floor(np.log2(1 + 1023 * np.clip(s[k], 0, 8)) * 2)).astype(np.int64) for k in LABELLERS}
+    for a, z, row, i in pieces(offs, piece):
+        end = min(len(data), z + 3)
+        x = data[a:end]
+        if end > z:
+            row = np.concatenate([row, np.searchsorted(offs, np.arange(z, end), "right") - 1])
+        shape = np.where(_KIND[x] >= 5, x, _KIND[x]).astype(np.uint32)
+        for k, codes in enumerate((shape, x.astype(np.uint32))):
+            size = KINDS[k][0]
+            m = min(z - a, len(x) - size + 1)  # n-grams that start in this piece
+            if m <= 0:
+                continue
+            h = np.full(m, 0x9E3779B1 + k, np.uint32)
+            for d in range(size):
+                h = (h ^ codes[d : m + d]) * np.uint32(0x85EBCA6B)
+            h ^= h >> np.uint32(15)
+            whole = row[:m] == row[size - 1 : size - 1 + m]
+            yield k, row[:m][whole], ((h * np.uint32(0xC2B2AE35)) >> np.uint32(32 - BITS))[whole].astype(np.int32)
     for k, name in enumerate(LABELLERS):
-        out.append((np.arange(n), (1 << BITS) + 32 * k + bins[name]))
-    return out
+        bins = np.minimum(31, np.floor(np.log2(1 + 1023 * np.clip(s[name], 0, 8)) * 2)).astype(np.int32)
+        yield len(KINDS) + k, np.arange(n), (1 << BITS) + 32 * k + bins
 
 
 WIDTH = (1 << BITS) + 32 * len(LABELLERS)
@@ -199,27 +217,34 @@ class QualityModel:
 
 
 def _mean_logit(feats, weight: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros(n)
-    for row, b in feats:
-        out += np.bincount(row, weight[b], n) / np.maximum(1, np.bincount(row, minlength=n))
-    return out
+    total, count = np.zeros((len(KINDS) + len(LABELLERS), n)), np.zeros((len(KINDS) + len(LABELLERS), n))
+    for kind, row, b in feats:
+        total[kind] += np.bincount(row, weight[b], n)
+        count[kind] += np.bincount(row, minlength=n)
+    return (total / np.maximum(1, count)).sum(0)
+
 
+def train(texts, target: np.ndarray, *, epochs: int = 60, rate: float = 4.0, l2: float = 1e-5) -> tuple[np.ndarray, float]:
+    """(weights, bias) of a logistic regression with soft targets over mean feature values; classes count alike.
 
-def train(texts: list[str], target: np.ndarray, labels: LabelModel, *, epochs: int = 60, rate: float = 4.0, l2: float = 1e-5, seed: int = 3) -> QualityModel:
-    """Logistic regression with soft targets over mean feature values; classes count alike."""
+    Features are held by slices of a megabyte of text, four bytes a bucket and
+    four a value, and each step goes through the slices.
+    """
     if len(texts) == 0:
-        return QualityModel(labels, np.zeros(WIDTH), 1.0)
-    data, offs = utf8_bytes(pa.array(texts, pa.large_string()))
-    rows, cols, vals = [], [], []
+        return np.zeros(WIDTH), 1.0
+    data, offs = utf8_bytes(texts)
+    slices = []
     for i, j in row_slices(offs, SLICE_BYTES):
         part, po = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
-        for row, b in features(part, po, statistics(part, po)):
-            pair, c = np.unique((row + i) * WIDTH + b, return_counts=True)
-            r = pair // WIDTH
-            rows.append(r)
-            cols.append(pair % WIDTH)
-            vals.append(c / np.bincount(row + i, minlength=len(texts))[r])
-    rows, cols, vals = np.concatenate(rows), np.concatenate(cols), np.concatenate(vals)
+        keys, vals = [], []
+        for _, row, b in features(part, po, statistics(part, po)):
+            pair, c = np.unique(row * WIDTH + b, return_counts=True)
+            keys.append(pair)
+            vals.append((c / np.bincount(row, minlength=j - i)[pair // WIDTH]).astype(np.float32))
+        key = np.concatenate(keys)
+        order = np.argsort(key)
+        key = key[order]
+        slices.append((i, j, (key % WIDTH).astype(np.int32), np.concatenate(vals)[order], np.searchsorted(key, np.arange(j - i + 1) * WIDTH)))
     y = np.asarray(target, np.float64)
     bad = max(1e-9, (1 - y).sum())
     cost = np.where(y < 0.5, len(y) / 2 / bad, len(y) / 2 / max(1e-9, y.sum()))
@@ -228,22 +253,26 @@ def train(texts: list[str], target: np.ndarray, labels: LabelModel, *, epochs: i
     w, c = np.zeros(WIDTH), 0.0
     g2 = np.full(WIDTH, 1e-6)
     for epoch in range(epochs):
-        z = np.bincount(rows, vals * w[cols], len(y)) + c
-        err = cost * (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y) / len(y)
-        g = np.bincount(cols, vals * err[rows], WIDTH) + l2 * w
+        g, shift = l2 * w, 0.0
+        for i, j, cols, val, at in slices:
+            # Every row has its binned statistics, so no run is empty.
+            z = np.add.reduceat(val * w[cols], at[:-1]) + c
+            err = cost[i:j] * (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y[i:j]) / len(y)
+            g += np.bincount(cols, val * np.repeat(err, np.diff(at)), WIDTH)
+            shift += err.sum()
         g2 += g * g
         w -= rate / np.sqrt(1 + epoch / 10) * g / np.sqrt(g2) / 8
-        c -= err.sum()
-    return QualityModel(labels, w, c)
+        c -= shift
+    return w, c
 
 
 def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", per_class: int = 2000, max_bytes: int = 16_384) -> QualityModel:
-    """Count vote patterns over all documents, estimate the labellers, and train the scorer.
+    """Count vote patterns over all documents, estimate the labellers, and train the scorer in an executor task.
 
-    The scorer's sample is bounded: of the documents with posteriors below one
-    half, and of the others, the ``per_class`` with the smallest hash of the id;
-    of these, the texts of at most ``max_bytes`` bytes. Null ids and texts are
-    not in it.
+    The scorer's sample is bounded: of the documents of at most ``max_bytes``
+    bytes, ``per_class`` with posteriors below one half and as many others, those
+    with the smallest hashes of the id. Null ids and texts are not in it; of rows
+    that share an id, all are, at the lowest pattern.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -256,17 +285,26 @@ def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", per_clas
             out[i:j] = pattern_of(votes(statistics(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])))
         return pa.array(out)
 
-    voted = materialize(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).isNotNull().alias("some"), pattern(text).alias("pattern")), "votes")
-    seen = voted.groupBy("pattern").count().toArrow().to_pandas()  # 3 ** 10 rows at most
-    labels = expectation_maximisation(seen["pattern"].to_numpy(), seen["count"].to_numpy().astype(float))
-    good = [int(p) for p, y in zip(seen["pattern"], labels.posterior(seen["pattern"].to_numpy())) if y >= 0.5] if len(seen) else []
-    usable = voted.where("some AND doc_id IS NOT NULL")
+    small = F.coalesce(F.octet_length(text) <= max_bytes, F.lit(False))
+    voted = materialize(docs.select(F.col(doc_id).alias("doc_id"), small.alias("small"), pattern(text).alias("pattern")), "votes")
+    seen = voted.groupBy("pattern").count().toArrow()  # 3 ** 10 rows at most
+    patterns = seen["pattern"].to_numpy()
+    labels = expectation_maximisation(patterns, seen["count"].to_numpy().astype(float))
+    good = patterns[labels.posterior(patterns) >= 0.5].tolist() if len(patterns) else []
+    usable = voted.where("small AND doc_id IS NOT NULL")
     is_good = F.col("pattern").isin(good) if good else F.lit(False)
     pick = [usable.where(c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (is_good, ~is_good)]
     ids = F.broadcast(pick[0].union(pick[1]).groupBy("doc_id").agg(F.min("pattern").alias("pattern")))  # 2 * per_class rows at most
-    rows = docs.where(F.octet_length(text) <= max_bytes).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(ids, "doc_id")
-    sample: pd.DataFrame = rows.select("doc_id", "text", "pattern").toArrow().to_pandas().sort_values(["doc_id", "text"])
-    return train(sample["text"].tolist(), labels.posterior(sample["pattern"].to_numpy(np.int64)), labels)
+    rows = docs.where(small).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(ids, "doc_id")
+
+    def trained(sample: pa.Table) -> dict[str, np.ndarray]:
+        sample = sample.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        weight, bias = train(sample["text"], labels.posterior(sample["pattern"].to_numpy()))
+        return {"weight": weight, "bias": np.array([bias])}
+
+    made = in_one_task(rows.select("doc_id", "text", "pattern"), trained) or {"weight": np.zeros(WIDTH), "bias": np.ones(1)}
+    release(voted)
+    return QualityModel(labels, made["weight"], float(made["bias"][0]))
 
 
 def rate(docs: DataFrame, model: QualityModel, text: str = "text", threshold: float = 0.5) -> Column:

@@ -107,3 +107,18 @@ def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.query(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
     assert got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).head()[0] > 0.98
+
+
+def test_a_table_in_parts_gives_the_same(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    one, many = langid.fit(docs), langid.fit(docs, part_bytes=1_000_000)
+    assert one.parts == 1 and many.parts > 3
+    texts = [r["text"] for r in docs.limit(20).collect()] + ["", None, "\U0001f600 \u4e00\u4e8c zzqqxx"]
+    data = utf8_bytes(pa.array(texts))
+    assert np.allclose(one.code_lengths(*data), many.code_lengths(*data), rtol=1e-6)
+    a = docs.select("doc_id", langid.predict(docs, one).alias("p")).collect()
+    b = docs.select("doc_id", langid.predict(docs, many).alias("p")).collect()
+    assert sorted((r["doc_id"], r["p"]["lang_pred"]) for r in a) == sorted((r["doc_id"], r["p"]["lang_pred"]) for r in b)
+    rows = list(langid.count_grams(iter(docs.where("lang IS NOT NULL AND text IS NOT NULL").select(F.col("lang").alias("label"), "text").toArrow().to_batches()), 3, "label", "text"))
+    plain = langid.freeze(pa.Table.from_batches(rows).to_pandas(), 3)
+    assert np.allclose(one.code_lengths(*data), plain.code_lengths(*data), rtol=1e-6)

@@ -21,9 +21,10 @@ from pyspark.sql import functions as F
 
 from quillframe.llm.buffers import grouped, mix64, row_slices, utf8_bytes
 from quillframe.llm.graph import connected_components
-from quillframe.shared import materialize, ship
+from quillframe.shared import materialize, release, ship
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
+PIECE_BYTES = 1 << 22
 BLOCK_DOCS = 512
 BLOCK_SHINGLES = 300_000
 
@@ -37,32 +38,52 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hash of every word of all rows, word offsets of the rows)."""
-    n = len(offs) - 1
-    if len(data) == 0:
-        return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
+def word_hashes(data: np.ndarray, offs: np.ndarray, piece: int = PIECE_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash of every word of all rows, word offsets of the rows).
+
+    Bytes are read ``piece`` at a time, so that a very long row, or a very long
+    word, takes eight bytes a word and not many for each of its bytes.
+    """
+    cut = np.zeros(len(data) + 1, bool)
+    cut[offs] = True
+    starts, lengths, sums = [], [], []
+    for a in range(0, len(data), piece):
+        z = min(len(data), a + piece)
+        start, length, each = _raw_words(data[a:z], cut[a : z + 1])
+        start += a
+        if a and len(start) and start[0] == a and not cut[a] and starts and starts[-1][-1] + lengths[-1][-1] == a:
+            # The first word goes on from the piece before.
+            lift = np.uint64(pow(int(_MULT), int(lengths[-1][-1]), 1 << 64))
+            sums[-1][-1] += each[0] * lift
+            lengths[-1][-1] += length[0]
+            start, length, each = start[1:], length[1:], each[1:]
+        if len(start):
+            starts.append(start)
+            lengths.append(length)
+            sums.append(each)
+    if not starts:
+        return np.zeros(0, np.uint64), np.zeros(len(offs), np.int64)
+    h = mix64(np.concatenate(sums) + np.concatenate(lengths).astype(np.uint64))
+    return h, np.searchsorted(np.concatenate(starts), offs)
+
+
+def _raw_words(data: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, length, polynomial sum) of each run of word bytes; ``cut`` marks borders of rows, one more than there are bytes."""
     inside = ~_SPACE[data]
-    edge = np.zeros(len(data) + 1, bool)
-    edge[offs] = True
-    before = np.empty(len(data), bool)
-    before[0] = False
-    before[1:] = inside[:-1]
-    start = np.flatnonzero(inside & (~before | edge[:-1]))
-    after = np.empty(len(data), bool)
-    after[-1] = False
-    after[:-1] = inside[1:]
-    stop = np.flatnonzero(inside & (~after | edge[1:])) + 1
-    if len(start) == 0:
-        return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
+    start = inside.copy()
+    start[1:] &= ~inside[:-1] | cut[1:-1]
+    stop = inside.copy()
+    stop[:-1] &= ~inside[1:] | cut[1:-1]
+    start, stop = np.flatnonzero(start), np.flatnonzero(stop) + 1
     lengths = stop - start
+    if len(start) == 0:
+        return start, lengths, np.zeros(0, np.uint64)
     at = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(int(lengths.max()) - 1, _MULT)]), dtype=np.uint64)
     each = _BYTE[_LOWER[data[inside]]] * power[at]
     sums = np.concatenate([[np.uint64(0)], np.cumsum(each, dtype=np.uint64)])
     ends = np.cumsum(lengths)
-    h = mix64(sums[ends] - sums[ends - lengths] + lengths.astype(np.uint64))
-    return h, np.searchsorted(start, offs)
+    return start, lengths, sums[ends] - sums[ends - lengths]
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -185,9 +206,13 @@ def near_duplicates(
     Linked are documents whose sets of ``words``-word shingles have
     100 * intersection >= ``percent`` * union. ``component_id`` is the smallest
     doc_id that links reach. A null or wordless text has no shingle and no link.
-    A row with null doc_id takes the component of the copies of its set, null if
-    all of those have null ids; rows that share a doc_id are one node. ``kept``
-    is doc_id = component_id (true for two nulls). Other columns are ignored.
+    A row with null doc_id takes the component that its text links to, null if
+    no id is in it; rows that share a doc_id are one node. ``kept`` is
+    doc_id = component_id (true for two nulls). Other columns are ignored.
+
+    Words and shingles are compared as 64-bit hashes, and equal sets as their
+    size and 128 bits: two unlike sets of a thousand shingles share any hash by
+    chance with a probability of about 1e-13.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -198,9 +223,10 @@ def near_duplicates(
 
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = materialize(base.select("doc_id", sign("text").alias("s")).select("doc_id", "s.n", "s.d1", "s.d2", "s.sub"), "signatures")
-    # One representative for all documents with the same set.
-    classes = materialize(signed.where("n > 0").groupBy("n", "d1", "d2", "sub").agg(F.min("doc_id").alias("rep")), "classes")
-    parts = classes.where("rep IS NOT NULL").select("rep", F.posexplode("sub").alias("i", "sk"))
+    # One representative for all documents with the same set: its smallest id, or a hash of the set if it has none.
+    classes = signed.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("own"), F.any_value("sub").alias("sub"))
+    classes = materialize(classes.withColumn("rep", F.coalesce("own", F.xxhash64("d1", "d2"))), "classes")
+    parts = classes.select("rep", F.posexplode("sub").alias("i", "sk"))
     shared = parts.groupBy("i", "sk").agg(F.count("*").alias("c")).where("c > 1").select("i", "sk")
     mine = parts.join(shared, ["i", "sk"], "left_semi").groupBy("rep").agg(F.sort_array(F.collect_set(F.struct("i", "sk"))).alias("s"))
     pairs = "flatten(transform(s, x -> transform(filter(s, y -> y.i > x.i), y -> xxhash64(x.i, y.i, x.sk, y.sk))))"
@@ -208,10 +234,13 @@ def near_duplicates(
     stars = keys.groupBy("key").agg(F.min("rep").alias("low"), F.count("*").alias("c")).where("c > 1").select("key", "low")
     near = keys.join(stars, "key").where("rep != low").select(F.col("rep").alias("a"), F.col("low").alias("b"))
     clusters = connected_components(near)
-    links = _links(base, classes, clusters, words, percent)
-    found = connected_components(links)
-    of = classes.join(found, classes["rep"] == found["node"], "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
+    release(keys)
+    found = connected_components(_links(base, classes, clusters, words, percent))
+    of = classes.join(found, classes["rep"] == found["node"], "left").select("n", "d1", "d2", "own", "rep", "component")
+    lowest = of.where("component IS NOT NULL AND own IS NOT NULL").groupBy("component").agg(F.min("own").alias("low"))
+    of = of.join(lowest, "component", "left").select("n", "d1", "d2", F.when(F.col("component").isNull(), F.col("own")).otherwise(F.col("low")).alias("component_id"))
     of = materialize(of, "components")  # a plain side, so that a hot set's rows can be split in the join
+    release(classes)
     out = signed.select("doc_id", "n", "d1", "d2").join(of, ["n", "d1", "d2"], "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
@@ -223,13 +252,13 @@ def _links(base: DataFrame, classes: DataFrame, clusters: DataFrame, words: int,
     A cluster is divided by set size (linked sets are at most one step apart) and each division into blocks of bounded size; every two blocks that
     can hold a link meet in one task.
     """
-    size = classes.groupBy("rep").agg(F.max("n").alias("n"))
-    members = clusters.join(size, clusters["node"] == size["rep"]).select("rep", "n", F.col("component").alias("cluster"))
+    size = classes.select("rep", "own", "n", "d1", "d2")
+    members = clusters.join(size, clusters["node"] == size["rep"]).select("rep", "own", "n", "d1", "d2", F.col("component").alias("cluster"))
     members = materialize(members, "members")
     blocks = lambda docs, shingles: F.ceil(F.greatest(docs / F.lit(BLOCK_DOCS), shingles / F.lit(BLOCK_SHINGLES))).cast("int")
     whole = members.groupBy("cluster").agg(F.count("*").alias("c"), F.sum("n").alias("t")).select("cluster", blocks(F.col("c"), F.col("t")).alias("all"))
     placed = members.join(whole, "cluster").withColumn("step", F.when(F.col("all") <= 1, 0).otherwise(F.floor(F.log("n") / (-1.03 * math.log(percent / 100)))).cast("int"))
-    placed = materialize(placed, "placed")
+    placed = materialize(placed.select("rep", "cluster", "step", "n"), "placed")
     per = placed.groupBy("cluster", "step").agg(F.count("*").alias("c"), F.sum("n").alias("t")).select("cluster", "step", blocks(F.col("c"), F.col("t")).alias("nb"))
     around = per
     for shift, name in ((1, "above"), (-1, "below")):
@@ -241,13 +270,24 @@ def _links(base: DataFrame, classes: DataFrame, clusters: DataFrame, words: int,
         if(above is null, array(), transform(sequence(0, above - 1), x -> xxhash64(cluster, step, b, step + 1, bigint(x)))),
         if(below is null, array(), transform(sequence(0, below - 1), x -> xxhash64(cluster, step - 1, bigint(x), step, b)))))"""
     dealt = dealt.select("rep", F.explode(F.expr(tasks)).alias("task"))
-    reps = members.select("rep").distinct()
-    # Members grow with the input: a merge join at every size.
-    texts = base.join(reps.hint("merge"), base["doc_id"] == reps["rep"]).select("rep", "text")
-    sent = dealt.join(texts, "rep").repartition("task").sortWithinPartitions("task")
+    # Members grow with the input: a merge join at every size. Ids that stand for several texts would send each of them, so a member's is the one with its set.
+    texts = base.join(members.where("own IS NOT NULL").select("rep").distinct().hint("merge"), base["doc_id"] == F.col("rep")).select("rep", "text")
+    unnamed = members.where("own IS NULL").select("rep", "d1", "d2")
+    sent = dealt.join(texts.unionByName(_unnamed_texts(base, unnamed, words)), "rep").repartition("task").sortWithinPartitions("task")
     return sent.select("task", "rep", "text").mapInArrow(lambda it: confirmed_links(it, words, percent), "a long, b long")
 
 
+def _unnamed_texts(base: DataFrame, unnamed: DataFrame, words: int) -> DataFrame:
+    """(rep, text) of sets that only rows without id have: those rows are signed again, one of each set is taken."""
+
+    @F.arrow_udf("struct<n:long,d1:long,d2:long,sub:array<long>>")
+    def sign(texts: pa.Array) -> pa.Array:
+        return signatures(texts, words, 0, 1)
+
+    rows = base.where("doc_id IS NULL").select("text", sign("text").alias("s")).select("text", "s.d1", "s.d2")
+    return rows.join(unnamed, ["d1", "d2"]).groupBy("rep").agg(F.any_value("text").alias("text"))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

@@ -71,3 +71,46 @@ def drafts(diffs: DataFrame, generated: DataFrame | None = None, most: int = 5)
     from pyspark.sql import Window
 
     return out.select("id", F.row_number().over(Window.partitionBy("id").orderBy("seq")).alias("rank"), "message")
+
+
+MARK, MOST_BODY = "@@@COMMIT@@@", 64 << 10
+
+
+def diff_body(diff: Column) -> Column:
+    """Lines of a diff that tell what it does: ``file`` and the new path of each file, then its added and removed lines up to a binary part."""
+    sections = F.slice(F.split(F.concat(F.lit("\n"), F.coalesce(diff, F.lit(""))), "\ndiff --git "), 2, 1 << 30)
+
+    def lines(section: Column) -> Column:
+        rows = F.split(section, "\n")
+        path = F.regexp_extract(F.get(rows, F.lit(0)), r'(?:^| )"?b/(.*?)"?$', 1)
+        binary = F.array_position(F.transform(rows, lambda x: F.startswith(x, F.lit("Binary files ")) | (x == "GIT binary patch")), F.lit(True)).cast("int")
+        shown = F.filter(F.when(binary > 0, F.slice(rows, 1, F.greatest(binary - 1, F.lit(1)))).otherwise(rows), lambda x: x.rlike(r"^(?:\+(?!\+\+)|-(?!--))"))
+        return F.concat(F.when(path != "", F.array(F.concat(F.lit("file "), path))).otherwise(F.expr("CAST(array() AS array<string>)")), shown)
+
+    return F.flatten(F.transform(sections, lines))
+
+
+def _bounded(text: Column) -> Column:
+    """Whole lines of ``text`` up to the one with which it reaches MOST_BODY characters."""
+    return F.when(F.length(text) <= MOST_BODY, text).otherwise(F.concat(F.substring(text, 1, MOST_BODY), F.regexp_extract(F.substring(text, MOST_BODY + 1, 1 << 30), r"^[^\n]*\n?", 0)))
+
+
+def commit_documents(logs: DataFrame) -> DataFrame:
+    """(repo, sha, text): a document for each commit of logs (repo, log) as ``git log -p`` prints them with ``MARK`` before hash and subject.
+
+    Commits without a changed line or file, such as merges, are left out; null logs have none.
+    """
+    commits = logs.select("repo", F.explode(F.slice(F.split(F.regexp_replace("log", "\r", ""), MARK), 2, 1 << 30)).alias("c"))
+    head = F.regexp_extract("c", r"^[^\n]*", 0)
+    parts = commits.select("repo", F.regexp_extract(head, r"^(\S*)", 1).alias("sha"), F.regexp_extract(head, r"^\S* (.*)$", 1).alias("subject"), diff_body(F.regexp_replace("c", r"^[^\n]*\n?", "")).alias("body"))
+    body = _bounded(F.concat(F.array_join("body", "\n"), F.lit("\n")))
+    return parts.where((F.size("body") > 0) & (F.col("sha") != "")).select("repo", "sha", F.concat(F.lit("commit "), "sha", F.lit("\n"), body, F.lit("msg: "), "subject", F.lit("\n")).alias("text"))
+
+
+def prompts(diffs: DataFrame) -> DataFrame:
+    """(id, text): what a model is asked to go on from, for diffs (id, files, diff): the same form up to ``msg:``, with the files alone where the diff shows nothing."""
+    body = diff_body(F.col("diff"))
+    names = F.transform(F.coalesce("files", F.expr("CAST(array() AS array<string>)")), lambda f: F.concat(F.lit("file "), F.replace(f, F.lit("\\"), F.lit("/"))))
+    lines = F.when(F.size(body) > 0, body).otherwise(names)
+    joined = F.when(F.size(lines) > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise("")
+    return diffs.select("id", F.concat(F.lit("commit staged\n"), _bounded(joined), F.lit("msg:")).alias("text"))

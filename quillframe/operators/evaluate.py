@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillframe.functions import text as X
@@ -75,3 +75,15 @@ def tune(cands: DataFrame, knobs: dict[str, list[float]], rounds: int = 2) -> tu
         if rate == before:
             break
     return weights, rate
+
+
+def percentiles(rows: DataFrame, by: str, value: str, shares: tuple[int, ...] = (50, 95)) -> DataFrame:
+    """(by, n, p50, p95): the value at place n * share // 100, from 0, of each group in rising order; nulls do not count.
+
+    Values are counted first, so a group is a running sum over its different values.
+    """
+    c = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("c"))
+    w = Window.partitionBy(by)
+    run = c.withColumns({"n": F.sum("c").over(w), "upto": F.sum("c").over(w.orderBy(value))})
+    picks = [F.min(F.when(F.col("upto") > F.expr(f"n * {s} div 100"), F.col(value))).alias(f"p{s}") for s in shares]
+    return run.groupBy(by, "n").agg(*picks)

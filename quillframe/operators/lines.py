@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillframe.functions import text as X
-from quillframe.shared import ship
 
 SHORTEST, LONGEST = 4, 400
 
@@ -67,63 +66,11 @@ def prefix_complete(contexts: DataFrame, index: DataFrame, k: int = 8, least_res
     return top(hit, ["query_id"], [F.desc("cnt"), F.col("rest")], k)
 
 
-def masked_candidates(contexts: DataFrame, masks: DataFrame, cap: int | None = None) -> DataFrame:
-    """(query_id, p, line, cnt): lines whose shape starts with the shape of the prefix (query_id, prefix).
-
-    Prefixes have at least five tokens that are no spaces. Shapes meet in
-    buckets of their first six characters.
-    """
-    q = contexts.select("query_id", X.normalize(F.col("prefix")).alias("p"))
-    q = q.withColumn("toks", X.line_tokens(F.col("p"))).where(F.size(F.filter("toks", lambda t: t != " ")) >= 5)
-    q = q.withColumn("shape", F.array_join(X.masked(F.col("toks")), "")).where(F.length("shape") >= 6).withColumn("bucket", F.substring("shape", 1, 6))
-    m = masks.select(F.col("shape").alias("full"), "line", "cnt").withColumn("bucket", F.substring("full", 1, 6))
-    hit = q.join(m, "bucket").where(F.startswith("full", F.col("shape")) & ~F.startswith("line", F.col("p"))).select("query_id", "p", "line", "cnt")
-    return top(hit, ["query_id"], [F.desc("cnt"), F.col("line")], cap) if cap else hit
-
-
-def rebind(line: str, prefix: str) -> tuple[str, float] | None:
-    """The rest of ``line`` with its names replaced as ``prefix`` names them, and its quality.
-
-    Tokens align one by one: names with names, all others equal. None if they do
-    not, if nothing is renamed, or if nothing is left.
-    """
-    from quillframe.functions.vocabulary import KEYWORD_CLASS
-
-    name = lambda t: bool(X._PYTHON_TOKEN.fullmatch(t)) and (t[0].isalpha() or t[0] in "_$" or t[0] >= "\x80") and t not in KEYWORD_CLASS
-    a, b = X.lex(line, end=False), X.lex(prefix, end=False)
-    if len(a) <= len(b):
-        return None
-    names: dict[str, str] = {}
-    for x, y in zip(a, b):
-        if name(x) and name(y):
-            names[x] = y
-        elif x != y:
-            return None
-    changed = {k: v for k, v in names.items() if k != v}
-    rest = a[len(b) :]
-    if not changed or not any(t in changed for t in rest):
-        return None
-    words = sum(1 for t in b if t != " ")
-    return "".join(changed.get(t, t) for t in rest), words / (words + 4) / (1 + 0.15 * len(changed))
-
-
-def masked_adapt(contexts: DataFrame, masks: DataFrame, k: int = 4) -> DataFrame:
-    """(query_id, rest, qual, cnt, rnk): continuations of like-shaped lines, with the names of the prefix."""
-    ship(contexts.sparkSession)
-    found = masked_candidates(contexts, masks)
-
-    def adapt(frames):
-        import pandas as pd
-
-        for pdf in frames:
-            rows = []
-            for q, p, line, cnt in pdf[["query_id", "p", "line", "cnt"]].itertuples(index=False):
-                if r := rebind(line, p):
-                    rows.append((q, r[0], r[1], cnt))
-            yield pd.DataFrame(rows, columns=["query_id", "rest", "qual", "cnt"])
-
-    best = found.mapInPandas(adapt, "query_id long, rest string, qual double, cnt long").groupBy("query_id", "rest").agg(F.max("qual").alias("qual"), F.sum("cnt").alias("cnt"))
-    return top(best, ["query_id"], [F.desc("cnt"), F.desc("qual"), F.col("rest")], k)
+def for_language(index: DataFrame, languages: DataFrame) -> DataFrame:
+    """(lang, line, cnt): for each asked language (lang) its lines of (lang, line, cnt) and those of no or another known language."""
+    asked = languages.select("lang", F.explode(F.array_distinct(F.array("lang", F.lit(""), F.lit("other")))).alias("of"))
+    hit = asked.join(index.withColumnRenamed("lang", "of"), "of")
+    return hit.groupBy("lang", "line").agg(F.sum("cnt").alias("cnt"))
 
 
 def infix_complete(contexts: DataFrame, lines: DataFrame, k: int = 3) -> DataFrame:

@@ -23,11 +23,14 @@ def language_unigrams(tokens: DataFrame, lang: str = "lang", least_tokens: int =
 
 def language_bigrams(tokens: DataFrame, lang: str = "lang", least: int = 2, least_tokens: int = 2048, cap: int = 32) -> DataFrame:
     """(lang, prev, tok, cnt, rnk): the most frequent followers of each token within a language."""
-    pairs = "transform(sequence(1, greatest(size(t) - 1, 1)), i -> struct(t[i - 1] AS prev, get(t, i) AS tok))"
-    t = tokens.select(lang, F.filter("toks", lambda x: x != X.END).alias("t"))
-    n = t.groupBy(lang).agg(F.sum(F.size("t")).alias("n")).where(F.col("n") >= least_tokens).select(lang)
-    c = t.where(F.size("t") > 1).select(lang, F.explode(F.expr(pairs)).alias("p")).groupBy(lang, "p.prev", "p.tok").agg(F.count("*").alias("cnt")).where(F.col("cnt") >= least)
-    return top(c.join(n, lang, "left_semi"), [lang, "prev"], [F.desc("cnt"), F.col("tok")], cap)
+    # One pass: the first token of a document has no predecessor, so the rows of a language add up to its size.
+    last = F.get("toks", F.size("toks") - 1) == X.END
+    t = tokens.select(lang, F.when(last, F.slice("toks", 1, F.size("toks") - 1)).otherwise(F.col("toks")).alias("tok")).where(F.size("tok") > 0)
+    prev = F.concat(F.array(F.lit(None).cast("string")), F.slice("tok", 1, F.size("tok") - 1))
+    rows = t.select(lang, F.inline(F.arrays_zip("tok", prev.alias("prev"))))
+    c = rows.groupBy(lang, "prev", "tok").agg(F.count("*").alias("cnt"))
+    big = c.groupBy(lang).agg(F.sum("cnt").alias("n")).where(F.col("n") >= least_tokens).select(lang)
+    return top(c.where(F.col("prev").isNotNull() & (F.col("cnt") >= least)).join(big, lang, "left_semi"), [lang, "prev"], [F.desc("cnt"), F.col("tok")], cap)
 
 
 def language_blend(bigrams: DataFrame, unigrams: DataFrame, contexts: DataFrame, lang: str = "lang") -> DataFrame:
@@ -111,3 +114,12 @@ def source_multiplier(events: DataFrame, source: str, kind: Column, alpha: float
     rate = (F.col("acc") + alpha) / (F.col("acc") + F.col("rej") + 2 * alpha)
     every = (F.col("ga") + alpha) / (F.col("ga") + F.col("gr") + 2 * alpha)
     return c.crossJoin(F.broadcast(g)).select("source", "acc", "rej", F.least(F.greatest(rate / every, F.lit(0.6)), F.lit(1.6)).alias("mult"))  # g is one row
+
+
+def scope(tokens: DataFrame, key: str = "doc_id", most: int = 512, thin: int = 4) -> DataFrame:
+    """(key, name, cnt, thin): the first ``most`` different names of each token array with their counts; thin documents have at most ``thin`` tokens that are no blanks."""
+    few = F.size(F.filter("toks", lambda t: (F.trim(t) != "") & (t != "\n") & (t != X.END))) <= thin
+    rows = tokens.select(key, few.alias("thin"), F.posexplode("toks").alias("pos", "name"))
+    names = rows.where(F.col("name").rlike(rf"^[A-Za-z_${X.HIGH}]") & ~X.is_keyword(F.col("name")) & (F.col("name") != X.END))
+    c = names.groupBy(key, "name", "thin").agg(F.count("*").alias("cnt"), F.min("pos").alias("at"))
+    return top(c, [key], [F.col("at")], most).select(key, "name", "cnt", "thin")

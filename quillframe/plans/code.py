@@ -13,10 +13,9 @@ from quillframe.operators import facts as A
 from quillframe.operators import lines as L
 from quillframe.operators import tables as T
 from quillframe.plans.more import _foreign_sql
-from quillframe.plans.queries import EXPLODED, INDEX, LINES, NORM, PARTS, TOP, WORDS, X, _last, lexed, model, query, table, texts
+from quillframe.plans.queries import EXPLODED, INDEX, LINES, NORM, ORDER, PARTS, TOP, WORDS, X, _last, answers, lexed, model, query, table, texts
 from quillframe.shared import materialize
 
-DECODED_ORDER = 6
 _SCALARS = ", ".join(f"'{s}'" for s in U.SCALARS)
 _AFTER = ", ".join(f"'{s}'" for s in U.OPERAND_AFTER)
 _W, _S = U.WORD, U.START
@@ -64,10 +63,9 @@ def subtoken_candidates(spark, sf_dir):
 @query()
 def greedy_decode(spark, sf_dir):
     """Continuations, of at most 96 tokens and four lines, of what stands before each document's last token."""
-    lx = lexed(spark, sf_dir)
-    _, stored, disc, rows = model(spark, sf_dir, DECODED_ORDER)
+    lx, stored, disc, rows = model(spark, sf_dir)
     v = stored.where("n = 1").count()
-    return D.greedy(_last(lx, DECODED_ORDER).select("query_id", "ctx"), stored, disc, rows, v, DECODED_ORDER).withColumn("p", F.round("p", 8))
+    return D.greedy(_last(lx).select("query_id", "ctx"), answers(stored, disc, rows), v, ORDER).withColumn("p", F.round("p", 8))
 
 
 def _code(spark, sf_dir):

@@ -152,14 +152,6 @@ def masked_shapes(spark, sf_dir):
     return L.masked_index(L.line_index(texts(spark, sf_dir))).groupBy("shape").agg(F.count("*").alias("n_lines"), F.sum("cnt").alias("cnt"))
 
 
-@query()
-def masked_adapt(spark, sf_dir):
-    """Continuations of like-shaped lines for every line's first half, names renamed."""
-    idx = L.line_index(texts(spark, sf_dir))
-    contexts = idx.select(F.expr("substring(line, 1, length(line) div 2)").alias("prefix")).distinct().withColumn("query_id", F.xxhash64("prefix"))
-    return L.masked_adapt(contexts, L.masked_index(idx))
-
-
 @query(f"""
 WITH {INDEX}, n AS (SELECT item_id AS query_id, substr(text, 1, 24) AS needle FROM benchmark WHERE length(text) >= 4),
 h AS (SELECT DISTINCT query_id, trim(substr(line, instr(line, needle) + length(needle)), ' ') AS rest FROM n JOIN idx ON instr(line, needle) > 1)
@@ -290,14 +282,15 @@ def ident_prefix(spark, sf_dir):
 
 # --- N-grams -----------------------------------------------------------------------
 
-ORDER = 3
+ORDER, DEEP = 6, 2  # the model's order, and how many orders of raw counts go beyond it
 GRAMS = "raw AS MATERIALIZED (" + " UNION ALL ".join(
     f"SELECT {n} AS n, [{', '.join(f'p{k}' for k in range(n - 1, 0, -1))}]::VARCHAR[] AS ctx, tok, count(*) AS cnt FROM w WHERE p{n - 1} IS NOT NULL GROUP BY ALL" if n > 1 else "SELECT 1 AS n, []::VARCHAR[] AS ctx, tok, count(*) AS cnt FROM w GROUP BY tok"
-    for n in range(1, ORDER + 2)
+    for n in range(1, ORDER + DEEP + 1)
 ) + ")"
-RAWS = f"{EXPLODED}, w AS MATERIALIZED (SELECT tok, {', '.join(f'lag(tok, {k}) OVER d AS p{k}' for k in range(1, ORDER + 1))} FROM tk WINDOW d AS (PARTITION BY doc_id ORDER BY pos)), {GRAMS}"
-CONT = "cont AS (SELECT n - 1 AS n, ctx[2:] AS ctx, tok, count(*) AS cont FROM raw WHERE n > 1 GROUP BY ALL)"
-STORED = f"st AS MATERIALIZED (SELECT n, ctx, tok, cont AS cnt FROM raw JOIN cont USING (n, ctx, tok) WHERE n < {ORDER} UNION ALL SELECT n, ctx, tok, cnt FROM raw WHERE n = {ORDER})"
+RAWS = f"{EXPLODED}, w AS MATERIALIZED (SELECT tok, {', '.join(f'lag(tok, {k}) OVER d AS p{k}' for k in range(1, ORDER + DEEP))} FROM tk WINDOW d AS (PARTITION BY doc_id ORDER BY pos)), {GRAMS}"
+KEPT = "cnt >= CASE WHEN n <= 3 THEN 1 ELSE 2 END"
+CONT = f"cont AS (SELECT n - 1 AS n, ctx[2:] AS ctx, tok, count(*) AS cont FROM raw WHERE n BETWEEN 2 AND {ORDER} GROUP BY ALL)"
+STORED = f"st AS MATERIALIZED (SELECT n, ctx, tok, cont AS cnt FROM raw JOIN cont USING (n, ctx, tok) WHERE n < {ORDER} AND {KEPT} UNION ALL SELECT n, ctx, tok, cnt FROM raw WHERE n = {ORDER} AND {KEPT})"
 DISC = """cc AS (SELECT n, count(*) FILTER (cnt = 1)::DOUBLE AS n1, count(*) FILTER (cnt = 2)::DOUBLE AS n2, count(*) FILTER (cnt = 3)::DOUBLE AS n3, count(*) FILTER (cnt = 4)::DOUBLE AS n4 FROM st GROUP BY n),
 di AS MATERIALIZED (SELECT n, CASE WHEN n1 * n2 * n3 = 0 THEN 0.5::DOUBLE ELSE least(greatest(1 - 2 * (n1 / (n1 + 2 * n2)) * n2 / n1, 0), 1) END AS d1, CASE WHEN n1 * n2 * n3 = 0 THEN 0.67::DOUBLE ELSE least(greatest(2 - 3 * (n1 / (n1 + 2 * n2)) * n3 / n2, 0), 1) END AS d2,
   CASE WHEN n1 * n2 * n3 = 0 THEN 0.8::DOUBLE ELSE least(greatest(3 - 4 * (n1 / (n1 + 2 * n2)) * n4 / n3, 0), 1) END AS d3 FROM cc)"""
@@ -305,23 +298,26 @@ ROWS = "ro AS MATERIALIZED (SELECT n, ctx, sum(cnt)::BIGINT AS tot, any_value(d1
 
 
 def model(spark, sf_dir, order=ORDER):
-    raw = materialize(N.raw_counts(lexed(spark, sf_dir), order + 1), "raw")
+    """(tokens, stored counts, discounts, context rows): each written once, as all are read more than once."""
+    lx = materialize(lexed(spark, sf_dir), "lexed")
+    raw = materialize(N.raw_counts(lx, order), "raw")
     stored = materialize(N.stored_counts(raw, order), "stored")
-    disc = N.discounts(stored)
-    return raw, stored, disc, N.context_rows(stored, disc)
+    disc = materialize(N.discounts(stored), "discounts")
+    return lx, stored, disc, materialize(N.context_rows(stored, disc), "rows")
 
 
-@query(f"WITH {RAWS} SELECT n::INT AS n, array_to_string(ctx, chr(1)) AS ctx, tok, cnt FROM raw WHERE cnt >= 2")
+@query(f"WITH {RAWS} SELECT n::INT AS n, array_to_string(ctx, chr(1)) AS ctx, tok, cnt FROM raw WHERE {KEPT}")
 def ngram_raw(spark, sf_dir):
-    """N-grams of orders 1 to 4 that occur twice."""
-    return N.raw_counts(lexed(spark, sf_dir), ORDER + 1).where("cnt >= 2").select("n", F.array_join("ctx", "\x01").alias("ctx"), "tok", "cnt")
+    """N-grams of orders 1 to 8; above order 3 those that occur twice."""
+    return N.frequent(N.raw_counts(lexed(spark, sf_dir), ORDER + DEEP)).select("n", F.array_join("ctx", "\x01").alias("ctx"), "tok", "cnt")
 
 
-@query(f"WITH {RAWS}, {CONT} SELECT n::INT AS n, array_to_string(ctx, chr(1)) AS ctx, tok, cont FROM cont WHERE cont >= 2")
+@query(f"WITH {RAWS}, {CONT} SELECT n::INT AS n, array_to_string(ctx, chr(1)) AS ctx, tok, cont FROM raw JOIN cont USING (n, ctx, tok) WHERE {KEPT}")
 def ngram_continuation(spark, sf_dir):
-    """How many tokens stand before each n-gram, where that is two or more."""
-    raw = N.raw_counts(lexed(spark, sf_dir), ORDER + 1)
-    return N.continuation_counts(raw).where("cont >= 2").select("n", F.array_join("ctx", "\x01").alias("ctx"), "tok", "cont")
+    """How many tokens stand before each kept n-gram of orders 1 to 5, counted over all n-grams."""
+    raw = materialize(N.raw_counts(lexed(spark, sf_dir), ORDER), "raw")
+    kept = N.frequent(raw.where(F.col("n") < ORDER)).select("n", "ctx", "tok").join(N.continuation_counts(raw), ["n", "ctx", "tok"])
+    return kept.select("n", F.array_join("ctx", "\x01").alias("ctx"), "tok", "cont")
 
 
 @query(f"WITH {RAWS}, {CONT}, {STORED}, {DISC} SELECT n::INT AS n, round(d1, 9) AS d1, round(d2, 9) AS d2, round(d3, 9) AS d3 FROM di")
@@ -330,10 +326,10 @@ def kn_discounts(spark, sf_dir):
     return model(spark, sf_dir)[2].select("n", *[F.round(f"d{k}", 9).alias(f"d{k}") for k in (1, 2, 3)])
 
 
-@query(f"WITH {RAWS}, {CONT}, {STORED}, {DISC}, {ROWS} SELECT n::INT AS n, array_to_string(ctx, chr(1)) AS ctx, tot, round(gamma, 6) AS gamma FROM ro WHERE tot >= 2")
+@query(f"WITH {RAWS}, {CONT}, {STORED}, {DISC}, {ROWS} SELECT n::INT AS n, array_to_string(ctx, chr(1)) AS ctx, tot, round(gamma, 6) AS gamma FROM ro")
 def kn_rows(spark, sf_dir):
     """Totals and free mass of contexts."""
-    return model(spark, sf_dir)[3].where("tot >= 2").select("n", F.array_join("ctx", "\x01").alias("ctx"), "tot", F.round("gamma", 6).alias("gamma"))
+    return model(spark, sf_dir)[3].select("n", F.array_join("ctx", "\x01").alias("ctx"), "tot", F.round("gamma", 6).alias("gamma"))
 
 
 CONTEXTS = f"qs AS (SELECT doc_id AS query_id, toks[len(toks)] AS tok, toks[greatest(len(toks) - {ORDER - 1}, 1):len(toks) - 1] AS ctx FROM lexed WHERE len(toks) > 0)"
@@ -353,9 +349,8 @@ def _kn_sql(source: str) -> str:
 
 @query(f"WITH {RAWS}, {CONT}, {STORED}, {DISC}, {ROWS}, {CONTEXTS} SELECT query_id, round(p, 9) AS p FROM ({_kn_sql('qs')})")
 def kn_prob(spark, sf_dir):
-    """Probability of each document's last token after the two before it."""
-    lx = lexed(spark, sf_dir)
-    _, stored, disc, rows = model(spark, sf_dir)
+    """Probability of each document's last token after the five before it."""
+    lx, stored, disc, rows = model(spark, sf_dir)
     v = stored.where("n = 1").count()
     return N.score(_last(lx), stored, disc, rows, v, ORDER).select("query_id", F.round("p", 9).alias("p"))
 
@@ -376,7 +371,10 @@ SELECT query_id, tok, round(p, 8) AS p, rnk::INT AS rnk FROM (SELECT *, {TOP('qu
 )
 def top_union(spark, sf_dir):
     """The eight likeliest tokens in place of each document's last one."""
-    lx = lexed(spark, sf_dir)
-    _, stored, disc, rows = model(spark, sf_dir)
+    lx, stored, disc, rows = model(spark, sf_dir)
     v = stored.where("n = 1").count()
-    return N.top_union(_last(lx).select("query_id", "ctx"), stored, disc, rows, v, ORDER).withColumn("p", F.round("p", 8))
+    return N.top_union(_last(lx).select("query_id", "ctx"), answers(stored, disc, rows), v, ORDER).withColumn("p", F.round("p", 8))
+
+
+def answers(stored, disc, rows):
+    return tuple(materialize(t, n) for t, n in zip(N.answers_table(stored, disc, rows), ("cells", "contexts", "unigrams")))

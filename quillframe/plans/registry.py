@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from quillframe.plans import code as _code  # noqa: F401  (adds to the same tables)
+from quillframe.plans import fixtures as _fixtures  # noqa: F401
 from quillframe.plans import more as _more  # noqa: F401
 from quillframe.plans import queries as _q
+from quillframe.plans import wide as _wide  # noqa: F401
 
 
 def queries() -> dict:

@@ -75,41 +75,6 @@ def test_prefix_completion(spark):
     assert got == {(1, 1): " err", (1, 2): " nil", (2, 1): "turn", (2, 2): "turn err", (4, 1): " top", (5, 1): "il"}
 
 
-def test_rebind_renames_aligned_names():
-    rest, qual = lines.rebind("data, err := load(path, data)", "rows, err := load(path, ")
-    assert rest == "rows)" and 0 < qual < 1
-    assert lines.rebind("a = f(b)", "a = f(") is None and lines.rebind("a = f(b)", "a + f(") is None and lines.rebind("a", "a b c") is None
-
-
-def test_masked_adapt(spark):
-    idx = spark.createDataFrame([("user, err := load(id, user)", 4)], "line string, cnt long")
-    q = spark.createDataFrame([(1, "item, err := load(id, ")], "query_id long, prefix string")
-    assert [tuple(r)[:2] for r in lines.masked_adapt(q, lines.masked_index(idx)).collect()] == [(1, " item)")]
-
-
-def test_masked_adapt_query_searches_every_line(spark, tmp_path):
-    from quillframe.functions import text
-    from quillframe.plans import queries
-
-    docs = [(1, "set the red box and the red lid\nset the blue box and the blue lid\nput(a, b, c) or keep(a, c)"), (2, "set the red box and the red lid\nput(x, y, z) or keep(x, z)\nnothing like it")]
-    spark.createDataFrame([(i, t, "en", "s") for i, t in docs], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
-    idx = Counter(x for _, t in docs for x in t.split("\n"))
-    want = {}
-    for prefix in {x[: len(x) // 2] for x in idx}:
-        p, found = prefix.strip(), {}
-        if sum(t != " " for t in text.lex(p, end=False)) < 5:
-            continue
-        for line, cnt in idx.items():
-            if not line.startswith(p) and (r := lines.rebind(line, p)):
-                qual, n = found.get(r[0], (0.0, 0))
-                found[r[0]] = (max(qual, r[1]), n + cnt)
-        for rnk, (rest, (qual, n)) in enumerate(sorted(found.items(), key=lambda x: (-x[1][1], -x[1][0], x[0]))[:4], 1):
-            want[prefix, rnk] = (rest, round(qual, 9), n)
-    ids = {r["h"]: r["p"] for r in spark.createDataFrame([(x[: len(x) // 2],) for x in idx], "p string").selectExpr("p", "xxhash64(p) AS h").collect()}
-    got = {(ids[r["query_id"]], r["rnk"]): (r["rest"], round(r["qual"], 9), r["cnt"]) for r in queries.masked_adapt(spark, str(tmp_path)).collect()}
-    assert got == want and any(n == 1 for _, _, n in want.values())
-
-
 def test_structure_keys(spark):
     toks = spark.createDataFrame([(1, ["if", " ", "(", "x", ")", "{", "\n", "return", "}", END])], "doc_id int, toks array<string>")
     got = [(r["tok"], r["skey"]) for r in tables.structure_keys(toks).orderBy("pos").collect()]

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.llm.buffers import row_slices, utf8_bytes
+from quillframe.llm.buffers import in_one_task, row_slices, utf8_bytes
 from quillframe.llm.langid import held_out
 from quillframe.shared import ship
 
@@ -31,6 +31,7 @@ BITS = 17
 DIM = 4
 WINDOW, STRIDE = 12, 6
 SLICE_BYTES = 1 << 20
+LONG_BYTES, PIECE_WORDS = 8 << 20, 120_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -119,32 +120,67 @@ class ToxicityModel:
     middle: float  # logit that is scored 0.5
     scale: float
 
-    def logits(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        """Largest passage logit of each row; that of an empty bag for rows without words."""
+    def _bags(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, first word, logit) of every passage."""
+        size, starts, rows, grams = ngrams(data, offs)
+        total, count = np.zeros(size + 1), np.zeros(size + 1)
+        for at, b in grams:
+            total[at + 1] += self.value[b]
+            count[at + 1] += 1
+        total, count = np.cumsum(total), np.cumsum(count)
+        row, a, z = passages(rows, len(offs) - 1)
+        edge = np.append(starts, size)
+        return row, a, (total[edge[z]] - total[edge[a]]) / np.maximum(1, count[edge[z]] - count[edge[a]]) + self.bias
+
+    def logits(self, data: np.ndarray, offs: np.ndarray, piece_words: int = PIECE_WORDS) -> np.ndarray:
+        """Largest passage logit of each row; that of an empty bag for rows without words.
+
+        A row of over eight megabytes is read ``piece_words`` words at a time, each
+        piece with the words around it that its passages need.
+        """
         n = len(offs) - 1
         out = np.full(n, self.bias)
         for i, j in row_slices(offs, SLICE_BYTES):
-            size, starts, rows, grams = ngrams(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-            if not len(starts):
+            part = data[offs[i] : offs[j]]
+            if len(part) > LONG_BYTES:
+                out[i] = self._long(part, piece_words)
                 continue
-            total, count = np.zeros(size + 1), np.zeros(size + 1)
-            for at, b in grams:
-                total[at + 1] += self.value[b]
-                count[at + 1] += 1
-            total, count = np.cumsum(total), np.cumsum(count)
-            row, a, z = passages(rows, j - i)
-            edge = np.append(starts, size)
-            bag = (total[edge[z]] - total[edge[a]]) / np.maximum(1, count[edge[z]] - count[edge[a]]) + self.bias
-            first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-            out[i + row[first]] = np.maximum.reduceat(bag, first)
+            row, _, bag = self._bags(part, offs[i : j + 1] - offs[i])
+            if len(row):
+                first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+                out[i + row[first]] = np.maximum.reduceat(bag, first)
         return out
 
+    def _long(self, row: np.ndarray, piece_words: int) -> float:
+        inside = ~_BREAK[row]
+        inside[1:] &= _BREAK[row[:-1]]
+        word = np.flatnonzero(inside)
+        del inside
+        best = -np.inf
+        step = piece_words // STRIDE * STRIDE
+        for k in range(0, len(word), step):
+            low, high = max(0, k - 2 * STRIDE), min(len(word), k + step + WINDOW)
+            part = row[word[low] : word[high] if high < len(word) else len(row)]
+            _, a, bag = self._bags(part, np.array([0, len(part)]))
+            mine = (a >= k - low) & (a < k - low + step)
+            best = max(best, bag[mine].max(initial=-np.inf))
+        return best if np.isfinite(best) else self.bias
+
     def scores(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         return 1.0 / (1.0 + np.exp(-np.clip((self.logits(data, offs) - self.middle) * self.scale, -60, 60)))
 
 
-def train(texts: list[str], labels: np.ndarray, *, rounds: int = 5, epochs: int = 2, least: int = 60_000, rate: float = 30.0, batch: int = 512, seed: int = 5) -> ToxicityModel:
-    """Joint gradient descent on embeddings and softmax over passages, at least ``least`` of them a round; without both classes every score is that of the only one."""
+def train(
+    texts: list[str], labels: np.ndarray, *, rounds: int = 5, epochs: int = 2, least: int = 60_000, rate: float = 30.0, batch: int = 512, seed: int = 5,
+    positive: int = 25_000, negative: int = 25_000, hard: int = 10_000,
+) -> ToxicityModel:
+    """Joint gradient descent on embeddings and softmax over passages of the sample.
+
+    A round draws at most ``positive`` and ``negative`` passages of the two
+    classes, ``hard`` of the latter being those of the highest score, and goes
+    through them at least ``epochs`` times and for at least ``least`` steps of one
+    passage. Without both classes every score is that of the only one.
+    """
     labels, every = np.asarray(labels), texts
     rest = np.arange(len(labels)) % 4 == 3  # calibrates only
     if len(set(labels[rest])) == 2 and len(set(labels[~rest])) == 2:
@@ -159,15 +195,12 @@ def train(texts: list[str], labels: np.ndarray, *, rounds: int = 5, epochs: int
     # By slices, so that only buckets and passage bounds are held for the whole sample.
     buckets, rows_of, los, his, spans = [], [], [], [], []
     held = 0
-    df = np.zeros((1 << BITS) + 1, np.int64)
     for i, j in row_slices(offs, 1 << 18):
         size, starts, rows, grams = ngrams(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
         at = np.concatenate([g[0] for g in grams]) if grams else np.zeros(0, np.int64)
         bucket = np.concatenate([g[1] for g in grams]).astype(np.int32) if grams else np.zeros(0, np.int32)
         order = np.argsort(at, kind="stable")
         at, bucket = at[order], bucket[order]
-        inside = np.searchsorted(offs[i : j + 1] - offs[i] + np.arange(j - i + 1), at, "right") - 1
-        df += np.bincount(np.unique(bucket.astype(np.int64) * (j - i + 1) + inside) // (j - i + 1), minlength=len(df))
         row, a, z = passages(rows, j - i)
         edge = np.searchsorted(at, np.append(starts, size))
         some = edge[z] > edge[a] if len(row) else np.zeros(0, bool)
@@ -179,8 +212,6 @@ def train(texts: list[str], labels: np.ndarray, *, rounds: int = 5, epochs: int
         held += len(bucket)
     row, lo, hi, bucket = (np.concatenate(x) for x in (rows_of, los, his, buckets))
     del buckets
-    # N-grams of fewer than three documents are no evidence of either class.
-    bucket[df[bucket] < 3] = 1 << BITS
     spans = [(k[0], nxt[0], k[1], k[2]) for k, nxt in zip(spans, [*spans[1:], (len(row), 0, 0)])]
 
     def scored(value: np.ndarray, bias: float) -> np.ndarray:
@@ -198,10 +229,10 @@ def train(texts: list[str], labels: np.ndarray, *, rounds: int = 5, epochs: int
     target, used = toxic.copy(), np.ones(len(row), bool)
     clean = np.flatnonzero(~toxic)
     for r in range(rounds):
-        pos = rng.permutation(np.flatnonzero(target & used))[:25_000]
-        neg = rng.permutation(clean)[:25_000]
+        pos = rng.permutation(np.flatnonzero(target & used))[:positive]
+        neg = rng.permutation(clean)[:negative]
         if r:  # with the clean passages that score highest
-            neg = np.union1d(neg[:15_000], clean[np.argsort(-score[clean], kind="stable")[:10_000]])
+            neg = np.union1d(neg[: negative - hard], clean[np.argsort(-score[clean], kind="stable")[:hard]])
         both = np.concatenate([pos, neg])
         passes = max(epochs, -(-least // max(1, len(both))))
         for epoch in range(passes):
@@ -249,19 +280,28 @@ def train(texts: list[str], labels: np.ndarray, *, rounds: int = 5, epochs: int
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = 2000, max_bytes: int = 8_192) -> ToxicityModel:
-    """Train on a bounded sample of labelled rows.
+def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = 2000, max_bytes: int = 16_384) -> ToxicityModel:
+    """Train on a bounded sample of labelled rows, in an executor task.
 
-    The sample is ``per_class`` ids of each class, those with the smallest hash,
-    and of them the texts of at most ``max_bytes`` bytes. An id that is labelled
-    more than once is toxic if any label is; null labels and ids do not count.
+    Of the labelled texts of at most ``max_bytes`` bytes, the sample has those of
+    ``per_class`` ids of each class, the ones with the smallest hash. An id that is
+    labelled more than once is toxic if any label is; null labels, ids and texts
+    do not count.
     """
+    ship(docs.sparkSession)
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
-    pick = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
+    small = docs.where((F.octet_length(text) <= max_bytes) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    usable = small.select("doc_id").distinct().join(known, "doc_id")
+    pick = [usable.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     ids = F.broadcast(pick[0].union(pick[1]))  # 2 * per_class rows at most
-    rows = docs.where(F.octet_length(text) <= max_bytes).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(ids, "doc_id")
-    sample = rows.select("doc_id", "text", "y").toArrow().to_pandas().sort_values(["doc_id", "text"])
-    return train(sample["text"].tolist(), sample["y"].to_numpy())
+
+    def trained(sample: pa.Table) -> dict[str, np.ndarray]:
+        sample = sample.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        m = train(sample["text"].to_pylist(), sample["y"].to_numpy())
+        return {"value": m.value, "rest": np.array([m.bias, m.middle, m.scale])}
+
+    made = in_one_task(small.join(ids, "doc_id").select("doc_id", "text", "y"), trained)
+    return ToxicityModel(made["value"], *made["rest"].tolist()) if made else train([], np.array([]))
 
 
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text") -> Column:

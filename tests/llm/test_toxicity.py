@@ -67,3 +67,29 @@ def test_edge_rows(spark):
     got = docs.select("doc_id", toxicity.score(docs, model).alias("s")).collect()
     assert len(got) == 4 and all(0 <= r["s"] <= 1 for r in got)
     assert docs.limit(0).select(toxicity.score(docs, model)).count() == 0
+
+
+def test_long_rows_score_as_in_one_piece(monkeypatch):
+    rng = np.random.default_rng(3)
+    model = toxicity.ToxicityModel(np.append(rng.normal(size=1 << toxicity.BITS), 0.0), 0.1, 0.0, 1.0)
+    words = ["".join(rng.choice(list("abcde"), rng.integers(1, 4))) for _ in range(30)]
+    texts = [" ".join(rng.choice(words, n)) + "  . " for n in (1, 5, 11, 12, 13, 17, 18, 19, 25, 36, 37, 100, 301)]
+    data = utf8_bytes(pa.array(texts))
+    whole = model.logits(*data)
+    monkeypatch.setattr(toxicity, "LONG_BYTES", 0)
+    monkeypatch.setattr(toxicity, "SLICE_BYTES", 1)
+    for step in (6, 12, 18, 60):
+        assert np.allclose(model.logits(*data, piece_words=step), whole)
+
+
+def test_equal_texts_score_alike_and_long_ones_do_not_starve_the_sample(spark):
+    texts, y, _ = sample(60)
+    rows = [(k, t) for k, t in enumerate(texts)] + [(1000 + k, "x " * 20_000) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(v)) for k, v in enumerate(y)] + [(1000 + k, 0) for k in range(60)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, per_class=25)
+    seen = toxicity.train([t for k, t in enumerate(texts)], y)
+    assert np.isfinite(model.value).all() and model.value.any() and seen.value.any()
+    twice = docs.where("doc_id < 5").union(docs.where("doc_id < 5"))
+    got = twice.select("doc_id", toxicity.score(docs, model).alias("s")).distinct().count()
+    assert got == 5

@@ -268,9 +268,18 @@ def register(spark) -> None:
     tidy = lambda s: re.sub(r"[ \t\r]+", " ", re.sub(r"^[ \t]+", "", s)).rstrip(" ")
     name = re.compile(r"[A-Za-z_$\u0080-\U0010FFFF][A-Za-z_$\u0080-\U0010FFFF0-9-]*")
     shape = lambda s: "".join(MARK if name.fullmatch(t) and t not in V.KEYWORD_CLASS else t for t in lex(s.lstrip(" \t").split("\n")[0], end=False))
+    cuts = [r"([_-])", r"([a-z])(?=[A-Z])", r"([A-Z])(?=[A-Z][a-z])", r"([0-9])(?=[A-Za-z])", r"([A-Za-z])(?=[0-9])"]
+
+    def parts(s: str) -> list[str]:
+        s = re.sub(cuts[0], "\x01\\1", s)
+        for c in cuts[1:]:
+            s = re.sub(c, "\\1\x01", s)
+        return [p for p in s.split("\x01") if p]
+
     simple("lex_tokens", lex, "array<string>", pa.list_(pa.string()))
     simple("normalize_line", tidy, "string", pa.string())
     simple("masked_line", shape, "string", pa.string())
+    simple("subtokens", parts, "array<string>", pa.list_(pa.string()))
 
 
 def batches_of_tokens(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[list[list[str]]]:

@@ -60,26 +60,64 @@ def apply_delta(base: DataFrame, removed: DataFrame, added: DataFrame, keys: lis
     return signed.groupBy(*keys).agg(F.sum(count).alias(count)).where(F.col(count) > 0)
 
 
-def save_tables(tables: dict[str, DataFrame], folder: str) -> None:
-    """Write each table as Parquet below ``folder``, and last a marker that the set is whole."""
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+def save_tables(tables: dict[str, DataFrame], folder: str, order: dict[str, list[str]] | None = None) -> int:
+    """Write a set of tables as Parquet below a new folder of ``folder``, and last a mark that it is whole; the set's version.
+
+    Sets are never overwritten, so one that is cut off leaves the last whole one
+    in force. ``order`` names columns by which a table is split by ranges and
+    sorted, so that readers skip row groups.
+    """
     spark = next(iter(tables.values())).sparkSession
-    spark.createDataFrame([(n,) for n in sorted(tables)], "name string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/_whole")
+    version = max(_versions(spark, folder), default=0) + 1
+    for name, df in tables.items():
+        by = (order or {}).get(name)
+        (df.repartitionByRange(*by).sortWithinPartitions(*by) if by else df).write.mode("overwrite").parquet(f"{folder}/{version}/{name}")
+    marks = spark.createDataFrame([(version, n) for n in sorted(tables)], "version long, name string")
+    marks.coalesce(1).write.mode("append").parquet(f"{folder}/_whole")
+    return version
+
+
+def _versions(spark: SparkSession, folder: str) -> list[int]:
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_whole")
+    if not root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(root):
+        return []
+    return [r["version"] for r in spark.read.schema("version long, name string").parquet(f"{folder}/_whole").select("version").distinct().collect()]  # one for each saved set
+
+
+def load_tables(spark: SparkSession, folder: str, version: int | None = None) -> dict[str, DataFrame]:
+    """The tables of the newest whole set, or of that ``version``."""
+    known = _versions(spark, folder)
+    if not known or (version is not None and version not in known):
+        raise FileNotFoundError(f"no whole set of tables in {folder}")
+    version = max(known) if version is None else version
+    marks = spark.read.schema("version long, name string").parquet(f"{folder}/_whole")
+    names = [r["name"] for r in marks.where(F.col("version") == version).collect()]  # one row for each table
+    return {n: spark.read.parquet(f"{folder}/{version}/{n}") for n in names}
 
 
-def load_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The tables of a whole set."""
-    names = [r["name"] for r in spark.read.parquet(f"{folder}/_whole").collect()]  # one row for each table
-    return {n: spark.read.parquet(f"{folder}/{n}") for n in names}
+def save_lines(df: DataFrame, folder: str) -> None:
+    """Append rows, such as definitions or feedback events, as JSON lines."""
+    df.write.mode("append").json(folder)
+
+
+def load_symbols(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, kind, name, line, sig) of JSON lines; lines that are none are skipped, missing fields are null."""
+    rows = spark.read.schema("path string, kind string, name string, line int, sig string, _bad string").option("columnNameOfCorruptRecord", "_bad").json(folder)
+    return rows.where("_bad IS NULL AND name IS NOT NULL").drop("_bad")
+
+
+JOURNAL = "e string, s string, v double, r int, l int, m boolean, f array<double>, t string, ts timestamp, _bad string"
+
+
+def valid_events(rows: DataFrame) -> DataFrame:
+    """Accepts and rejects of rows read with JOURNAL, whose learnt text, if any, has at most 512 bytes and no control characters."""
+    rows = rows.where(F.col("_bad").isNull() & F.col("e").isin("a", "r")).drop("_bad")
+    return rows.where(F.col("t").isNull() | ((F.octet_length("t") <= 512) & ~F.col("t").rlike(r"[\x00-\x08\x0B-\x1F]")))
 
 
 def read_journal(spark: SparkSession, path: str, newest: int | None = None) -> DataFrame:
     """Feedback events of JSON lines; malformed lines are skipped."""
-    schema = "e string, s string, v double, r int, l int, m boolean, f array<double>, t string, ts timestamp, _bad string"
-    rows = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_bad").json(path)
-    rows = rows.where(F.col("_bad").isNull() & F.col("e").isin("a", "r")).drop("_bad")
-    rows = rows.where(F.col("t").isNull() | ((F.octet_length("t") <= 512) & ~F.col("t").rlike(r"[\x00-\x08\x0B-\x1F]")))
+    rows = valid_events(spark.read.schema(JOURNAL).option("columnNameOfCorruptRecord", "_bad").json(path))
     return rows.orderBy(F.desc("ts")).limit(newest) if newest else rows
 
 

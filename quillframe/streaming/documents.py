@@ -18,27 +18,84 @@ def read_updates(spark: SparkSession, folder: str, schema: str, files_per_batch:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def maintain_index(updates: DataFrame, folder: str, checkpoint: str, key: str = "uri", version: str = "version", text: str = "text"):
-    """Keep ``folder/state`` (newest text of each key) and ``folder/index`` (line, cnt) up to date; returns the query.
+BUCKETS = 64
+
+
+def _numbers(spark: SparkSession, folder: str) -> list[int]:
+    """The numbers under which whole tables lie in ``folder``; a table without Spark's mark of success does not count."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    store = root.getFileSystem(conf)
+    if not store.exists(root):
+        return []
+    names = [s.getPath().getName() for s in store.listStatus(root)]
+    return sorted(int(n) for n in names if n.isdigit() and store.exists(jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS")))
+
 
-    A batch is folded into the state and the new tables are written beside the
-    old ones under the batch's number, so that a batch which runs again writes
-    the same tables. Late older versions lose.
+def maintain_index(updates: DataFrame, folder: str, checkpoint: str, key: str = "uri", version: str = "version", text: str = "text"):
+    """Keep a line index of the newest text of each key up to date by deltas; returns the query.
+
+    A batch writes the versions that it brings (``state/<number>``, by buckets of
+    keys) and what they change of the counts (``delta/<number>``: line, cnt, less
+    than nothing for lines that go); it reads only the buckets of its own keys,
+    and a batch that runs again writes the same tables. Older versions that come
+    late, and equal ones, lose. A null text deletes its document. Read the index
+    with ``current_index``.
     """
     spark = updates.sparkSession
+    schema = f"{key} {dict(updates.dtypes)[key]}, {version} {dict(updates.dtypes)[version]}, {text} string, bucket int"
 
     def fold(batch: DataFrame, number: int) -> None:
-        new = latest_versions(batch.select(key, version, text), key, version)
-        if number > 0:
-            old = spark.read.parquet(f"{folder}/state/{number - 1}")
-            new = latest_versions(old.unionByName(new), key, version)
-        new.write.mode("overwrite").parquet(f"{folder}/state/{number}")
-        state = spark.read.parquet(f"{folder}/state/{number}")
-        line_index(state.where(F.col(text).isNotNull()), text).write.mode("overwrite").parquet(f"{folder}/index/{number}")
+        bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+        new = latest_versions(batch.select(key, version, text), key, version).withColumn("bucket", bucket)
+        paths = [f"{folder}/state/{n}" for n in _numbers(spark, f"{folder}/state") if n < number]
+        old = spark.createDataFrame([], schema)
+        if paths:
+            mine = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # 64 at most
+            for p in paths:
+                old = old.unionByName(spark.read.schema(schema).parquet(p).where(F.col("bucket").isin(mine)))
+        old = latest_versions(old.drop("bucket"), key, version)
+        before = old.select(F.col(key).alias("_k"), F.col(version).alias("_v"))
+        fresh = new.join(before, F.col(key) == F.col("_k"), "left").where(F.col("_v").isNull() | (F.col(version) > F.col("_v"))).drop("_k", "_v")
+        fresh.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/state/{number}")
+        fresh = spark.read.schema(schema).parquet(f"{folder}/state/{number}")
+        gone = old.join(fresh.select(key), key, "left_semi")
+        change = line_index(fresh, text).unionByName(line_index(gone, text).withColumn("cnt", -F.col("cnt")))
+        change.groupBy("line").agg(F.sum("cnt").alias("cnt")).where("cnt != 0").write.mode("overwrite").parquet(f"{folder}/delta/{number}")
 
     return updates.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def current_index(spark: SparkSession, folder: str) -> DataFrame:
+    """(line, cnt) after all whole deltas: the newest compacted index, and the sum of what came later."""
+    base = _numbers(spark, f"{folder}/base")[-1:]
+    later = [n for n in _numbers(spark, f"{folder}/delta") if not base or n > base[0]]
+    rows = spark.createDataFrame([], "line string, cnt long")
+    for path in [f"{folder}/base/{n}" for n in base] + [f"{folder}/delta/{n}" for n in later]:
+        rows = rows.unionByName(spark.read.schema("line string, cnt long").parquet(path))
+    return rows.groupBy("line").agg(F.sum("cnt").alias("cnt")).where("cnt > 0")
+
+
+def compact_index(spark: SparkSession, folder: str) -> None:
+    """Write the present index as a table of its own, from which later reads start; deltas stay until someone removes them."""
+    done = _numbers(spark, f"{folder}/delta")
+    if done:
+        current_index(spark, folder).write.mode("overwrite").parquet(f"{folder}/base/{done[-1]}")
+
+
+def on_new_tables(spark: SparkSession, folder: str, checkpoint: str, install):
+    """Call ``install(tables)`` when a newer set of tables lies in ``folder``; returns the query. A set is whole once its mark is there."""
+    from quillframe.sources.corpus import load_tables
+
+    marks = spark.readStream.schema("version long, name string").parquet(f"{folder}/_whole")
+
+    def reload(batch: DataFrame, number: int) -> None:
+        if not batch.isEmpty():
+            install(load_tables(spark, folder))
+
+    return marks.writeStream.foreachBatch(reload).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def session_counts(updates: DataFrame, key: str, ts: str, gap: str = "45 minutes", late: str = "2 minutes") -> DataFrame:
     """(key, start, end, n): sessions of updates, closed when the watermark has passed them."""
     w = F.session_window(ts, gap)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.shared import ship
+from quillframe.shared import materialize, ship
 
 UNIT = 576
 PNG = b"\x89PNG\r\n\x1a\n"
@@ -108,7 +108,9 @@ def gzip_end(b: bytes, at: int) -> int | None:
     z, i = zlib.decompressobj(31), at
     try:
         while not z.eof and i < len(b):
-            z.decompress(b[i : i + 65536])
+            z.decompress(b[i : i + 65536], 1 << 20)
+            while z.unconsumed_tail and not z.eof:  # never more than a megabyte of what is inflated
+                z.decompress(z.unconsumed_tail, 1 << 20)
             i += 65536
     except zlib.error:
         return None
@@ -278,7 +280,7 @@ def digested(docs: DataFrame, media: Column) -> Column:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """Every document stored as a medium, sniffed, read back and digested."""
+    """Every document stored as a medium in a table, which is read again, sniffed and digested."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), digested(docs, media_column(docs)).alias("m"))
-    return out.select("doc_id", "n_bytes", "m.*")
+    stored = materialize(docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), media_column(docs).alias("media")), "media")
+    return stored.select("doc_id", "n_bytes", digested(stored, F.col("media")).alias("m")).select("doc_id", "n_bytes", "m.*")

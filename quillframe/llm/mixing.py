@@ -33,7 +33,8 @@ def water_fill(nodes: DataFrame, parents: Sequence[str], name: str) -> DataFrame
     """Adds ``budget``: the share of ``parent_budget`` of each child with ``weight`` and ``cap``, in whole tokens.
 
     Children are taken by cap / weight; those that the level reaches get their
-    cap, the others share the rest by weight, rounded down.
+    cap, the others share the rest by weight, rounded down, and what that leaves
+    goes, a token each, to those with the largest remainders.
     """
     by = Window.partitionBy(*parents) if parents else Window.partitionBy(F.lit(0))
     rank = by.orderBy(F.expr("CAST(cap AS DECIMAL(38,0)) * 1000000 div weight"), name)
@@ -46,9 +47,14 @@ def water_fill(nodes: DataFrame, parents: Sequence[str], name: str) -> DataFrame
         .withColumn("taken", F.sum(F.when(F.col("sated"), F.col("cap")).otherwise(0)).over(by))
         .withColumn("open_weight", F.sum(F.when(F.col("sated"), 0).otherwise(F.col("weight"))).over(by))
     )
-    share = F.expr("CAST(CAST(parent_budget - taken AS DECIMAL(38,0)) * weight div open_weight AS BIGINT)")
-    x = x.withColumn("budget", F.when(F.col("sated"), F.col("cap")).otherwise(F.greatest(share, F.lit(0))))
-    return x.drop("cap_before", "weight_after", "sated", "taken", "open_weight")
+    part = "CAST(parent_budget - taken AS DECIMAL(38,0)) * weight"
+    x = x.withColumn("share", F.when(F.col("sated"), F.col("cap")).otherwise(F.expr(f"CAST({part} div open_weight AS BIGINT)")))
+    x = x.withColumn("remainder", F.when(F.col("sated"), F.lit(-1)).otherwise(F.expr(f"CAST({part} % open_weight AS BIGINT)")))
+    x = x.withColumn("left", F.col("parent_budget") - F.sum("share").over(by))
+    # A child that the level does not reach has room for one more.
+    more = ~F.col("sated") & (F.row_number().over(by.orderBy(F.desc("remainder"), name)) <= F.col("left"))
+    x = x.withColumn("budget", F.col("share") + more.cast("long"))
+    return x.drop("cap_before", "weight_after", "sated", "taken", "open_weight", "share", "remainder", "left")
 
 
 def leaf_budgets(leaves: DataFrame, levels: Sequence[str], weights: Sequence[Column], total: Column | int, max_epochs: int) -> DataFrame:
@@ -72,7 +78,9 @@ def mix(
     The budget is ``share`` per cent of all tokens. ``epochs_taken`` counts whole
     passes over the row's leaf; ``prefix_tokens`` are the row's first tokens taken
     in the pass after those, in the order of a seeded hash of the id. Rows of
-    no tokens are never taken. ``levels`` must not be null. The prefix of a leaf
+    no tokens are never taken. ``levels`` must not be null. Rows without id are
+    placed by their number of tokens; of rows that share id and number any may
+    come first, as nothing that is returned tells them apart. The prefix of a leaf
     is found over hash buckets of about 4096 rows, so that a leaf with most of
     the rows is spread over many tasks.
     """
@@ -86,13 +94,13 @@ def mix(
         ).select(*levels, "_full", "_part", "_step"),
         "budgets",
     )
-    key = F.concat_ws(":", F.lit(seed), F.col("_full"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null")))
+    key = F.concat_ws(":", F.lit(seed), F.col("_full"), F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("null"), F.col(tokens))))
     rows = docs.where(F.col(tokens) > 0).join(budgets, list(levels))
     rows = rows.withColumn("_h", F.conv(F.substring(F.md5(key.cast("binary")), 1, 15), 16, 10).cast("long")).withColumn("_b", F.expr("_h div _step"))
     buckets = rows.groupBy(*levels, "_b").agg(F.sum(tokens).alias("_t"))
     order = Window.partitionBy(*levels).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.withColumn("_before", F.coalesce(F.sum("_t").over(order), F.lit(0))).drop("_t")
-    inner = Window.partitionBy(*levels, "_b").orderBy("_h", F.col(doc_id)).rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy(*levels, "_b").orderBy("_h", F.col(doc_id), F.col(tokens)).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.join(buckets, [*levels, "_b"]).withColumn("_before", F.col("_before") + F.coalesce(F.sum(tokens).over(inner), F.lit(0)))
     taken = F.greatest(F.least(F.col(tokens), F.col("_part") - F.col("_before")), F.lit(0))
     rows = rows.withColumns({"epochs_taken": F.col("_full"), "prefix_tokens": taken.cast("long")})
@@ -145,16 +153,17 @@ def oracle(docs_sql: str) -> str:
             f"sum(weight) {rank} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::HUGEINT AS wa FROM n{k})"
         )
         out.append(f"t{k} AS (SELECT *, cap * wa <= (pb - cb) * weight AS sated FROM r{k})")
-        out.append(
-            f"b{k} AS (SELECT {cols}, CASE WHEN sated THEN cap ELSE greatest((pb - sum(CASE WHEN sated THEN cap ELSE 0 END) OVER ({part}))::HUGEINT * weight "
-            f"// greatest((sum(CASE WHEN sated THEN 0 ELSE weight END) OVER ({part}))::HUGEINT, 1), 0) END AS pb FROM t{k})"
-        )
+        of_open = lambda x, y: f"(sum(CASE WHEN sated THEN {x} ELSE {y} END) OVER ({part}))::HUGEINT"
+        out.append(f"u{k} AS (SELECT *, (pb - {of_open('cap', '0')}) * weight AS due, greatest({of_open('0', 'weight')}, 1) AS ow FROM t{k})")
+        out.append(f"v{k} AS (SELECT *, CASE WHEN sated THEN cap ELSE due // ow END AS share, CASE WHEN sated THEN -1 ELSE due % ow END AS rem FROM u{k})")
+        more = f"NOT sated AND row_number() OVER ({part} ORDER BY rem DESC, {level}) <= pb - (sum(share) OVER ({part}))::HUGEINT"
+        out.append(f"b{k} AS (SELECT {cols}, share + CASE WHEN {more} THEN 1 ELSE 0 END AS pb FROM v{k})")
     out.append("q AS (SELECT domain, lang, source, pb // tokens AS fullp, pb % tokens AS part FROM leaves JOIN b2 USING (domain, lang, source) WHERE tokens > 0)")
     out.append(
-        f"o AS (SELECT d.*, fullp, part, ('0x' || substr(md5(concat_ws(':', '{SEED}', fullp::BIGINT::VARCHAR, coalesce(doc_id::VARCHAR, 'null'))), 1, 15))::BIGINT AS h "
+        f"o AS (SELECT d.*, fullp, part, ('0x' || substr(md5(concat_ws(':', '{SEED}', fullp::BIGINT::VARCHAR, coalesce(doc_id::VARCHAR, 'null' || n_tokens))), 1, 15))::BIGINT AS h "
         "FROM d JOIN q USING (domain, lang, source) WHERE n_tokens > 0)"
     )
-    out.append("c AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o)")
+    out.append("c AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY h, doc_id NULLS FIRST, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o)")
     out.append("m AS (SELECT doc_id, domain, lang, source, n_tokens, fullp::BIGINT AS epochs_taken, greatest(least(n_tokens, part - before), 0)::BIGINT AS prefix_tokens FROM c)")
     return "WITH " + ",\n".join(out) + "\nSELECT * FROM m WHERE epochs_taken > 0 OR prefix_tokens > 0"
 

@@ -19,7 +19,10 @@ def plain_fill(budget, caps, weights):
         total = sum(weights[k] for k in open_)
         full = {k for k in open_ if caps[k] * total <= left * weights[k]}
         if not full:
-            return given | {k: int(left * weights[k] / total) for k in open_}
+            exact = {k: left * weights[k] / total for k in open_}
+            over = int(left - sum(int(x) for x in exact.values()))
+            first = sorted(open_, key=lambda k: (int(exact[k]) - exact[k], k))[:over]
+            return given | {k: int(exact[k]) + (k in first) for k in open_}
         for k in full:
             given[k] = caps[k]
             left -= caps[k]
@@ -46,13 +49,30 @@ def test_mix_takes_exact_budgets(spark):
     got = mixing.mix(df, ["domain", "lang", "source"], mixing.weights()).collect()
     taken = sum(r["epochs_taken"] * r["n_tokens"] + r["prefix_tokens"] for r in got)
     total = sum(r[4] for r in rows) * mixing.SHARE // 100
-    assert total - 20 <= taken <= total
+    assert taken == total
     assert all(0 <= r["prefix_tokens"] <= r["n_tokens"] and r["epochs_taken"] <= mixing.EPOCHS for r in got)
     for leaf in {tuple(r)[1:4] for r in got}:
         assert len({r["epochs_taken"] for r in got if tuple(r)[1:4] == leaf and r["prefix_tokens"] == 0} | {r["epochs_taken"] for r in got if tuple(r)[1:4] == leaf}) == 1
     assert mixing.mix(df.limit(0), ["domain", "lang", "source"], mixing.weights()).count() == 0
 
 
+def test_rows_without_id_are_dealt_over_buckets_and_budgets_met(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 8)
+    rows = [(None, "d0", "en", "s", 1 + i % 13) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, domain string, lang string, source string, n_tokens long")
+    got = sorted((r["n_tokens"], r["epochs_taken"], r["prefix_tokens"]) for r in mixing.mix(df, ["domain", "lang", "source"], mixing.weights()).collect())
+    assert sum(n * e + p for n, e, p in got) == sum(r[4] for r in rows) * mixing.SHARE // 100
+    again = mixing.mix(df.repartition(7, "n_tokens"), ["domain", "lang", "source"], mixing.weights())
+    assert sorted((r["n_tokens"], r["epochs_taken"], r["prefix_tokens"]) for r in again.collect()) == got
+
+
+def test_repeated_urls_score_alike(spark):
+    rows = [(k, u) for k, u in enumerate(["https://a.net/de/1", "https://b.org/es/2", "https://c.info/x", "https://c.info/x", None, None, ""])]
+    got = urlfilter.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    of = {r["page_id"]: (r["verdict"], r["llr"]) for r in got}
+    assert len(got) == 7 and of[2] == of[3] and of[4] == of[5] == of[6]
+
+
 def test_buckets_do_not_change_what_is_taken(spark, monkeypatch):
     df = spark.createDataFrame([(i, "d0", "en", "s", 1 + i % 9) for i in range(500)], "doc_id long, domain string, lang string, source string, n_tokens long")
     take = lambda: {tuple(r) for r in mixing.mix(df, ["domain", "lang", "source"], mixing.weights()).collect()}

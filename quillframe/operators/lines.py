@@ -53,14 +53,17 @@ def prefix_complete(contexts: DataFrame, index: DataFrame, k: int = 8, least_res
     """(query_id, rest, cnt, rnk): the most frequent continuations of each prefix (query_id, prefix).
 
     The prefix is normalised and has to have 2 bytes or more. Lines and prefixes
-    meet in buckets of their first characters: at most 4, and for shorter
-    prefixes as many as they have, so that it is a hash join with the whole
-    prefix as its condition.
+    meet on the first 1, 2, 4, 8.. characters, the most that the prefix has, with
+    the whole prefix as a further condition; a line is sent once for each of
+    these widths that some prefix has.
     """
     q = contexts.select("query_id", X.normalize(F.col("prefix")).alias("p")).where(F.octet_length("p") >= 2)
-    q = q.withColumns({"w": F.least(F.length("p"), F.lit(4)), "bucket": F.substring("p", 1, 4)})
-    widths = F.explode(F.sequence(F.lit(1), F.lit(4))).alias("w")
-    idx = index.select("line", "cnt", widths).where(F.col("w") <= F.length("line")).withColumn("bucket", F.expr("substring(line, 1, w)"))
+    width = F.lit(1)
+    for w in (2, 4, 8, 16, 32, 64, 128, 256):
+        width = F.when(F.length("p") >= w, w).otherwise(width)
+    q = q.withColumn("w", width).withColumn("bucket", F.expr("substring(p, 1, w)"))
+    widths = F.broadcast(q.select("w").distinct())  # nine rows at most
+    idx = index.select("line", "cnt").join(widths, F.length("line") >= F.col("w")).withColumn("bucket", F.expr("substring(line, 1, w)"))
     hit = q.join(idx, ["w", "bucket"]).where(F.startswith("line", F.col("p")))
     hit = hit.select("query_id", F.expr("substring(line, length(p) + 1)").alias("rest"), "cnt").where(F.octet_length("rest") >= least_rest)
     return top(hit, ["query_id"], [F.desc("cnt"), F.col("rest")], k)
@@ -76,13 +79,17 @@ def for_language(index: DataFrame, languages: DataFrame) -> DataFrame:
 def infix_complete(contexts: DataFrame, lines: DataFrame, k: int = 3) -> DataFrame:
     """(query_id, rest, rnk): what follows ``needle`` (query_id, needle) inside the distinct lines (line), not at their start.
 
-    The needle's first four bytes are an equi-key against all runs of four
-    characters of each line, so there is no nested loop.
+    Runs of four characters are the equi-key: of each needle the one that the
+    fewest lines have, among those lines alone that have some needle's run.
     """
-    q = contexts.where(F.octet_length("needle") >= 4).where(F.length("needle") >= 4).withColumn("g", F.substring("needle", 1, 4))
-    grams = F.array_distinct(F.expr("transform(sequence(2, greatest(length(line) - 3, 2)), i -> substring(line, i, 4))"))
-    idx = lines.where(F.length("line") >= 5).select("line", F.explode(grams).alias("g"))
-    hit = q.join(idx, "g").withColumn("at", F.instr("line", F.col("needle"))).where("at > 1")
+    runs = lambda c, first: F.array_distinct(F.expr(f"transform(sequence({first}, greatest(length({c}) - 3, {first})), i -> substring({c}, i, 4))"))
+    q = contexts.where((F.octet_length("needle") >= 4) & (F.length("needle") >= 4))
+    asked = q.select("query_id", "needle", F.explode(runs("needle", 1)).alias("g"))
+    idx = lines.where(F.length("line") >= 5).select("line", F.explode(runs("line", 2)).alias("g")).join(asked.select("g").distinct(), "g", "left_semi")
+    count = idx.groupBy("g").agg(F.count("*").alias("c"))
+    # A run that no line has leaves its needle without any.
+    rarest = asked.join(count, "g", "left").groupBy("query_id", "needle").agg(F.min_by("g", F.struct(F.coalesce("c", F.lit(0)), "g")).alias("g"))
+    hit = rarest.join(idx, "g").withColumn("at", F.instr("line", F.col("needle"))).where("at > 1")
     rest = hit.select("query_id", F.trim(F.expr("substring(line, at + length(needle))")).alias("rest")).where("rest != ''").distinct()
     return top(rest, ["query_id"], [F.col("rest")], k)
 

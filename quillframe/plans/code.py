@@ -82,7 +82,7 @@ def code_facts(spark, sf_dir):
 @query()
 def call_members(spark, sf_dir):
     """What documents and pages use of functions' results."""
-    return A.call_members(A.extract(_code(spark, sf_dir)))
+    return A.call_members(materialize(A.extract(_code(spark, sf_dir)), "facts"))
 
 
 def _shop_facts(spark, sf_dir):
@@ -106,7 +106,7 @@ c AS (SELECT type, member, count(*) AS cnt FROM s GROUP BY ALL) SELECT type, mem
 """)
 def type_members(spark, sf_dir):
     """Members of each supplier as a type, by the number of orders that state or use them."""
-    return A.type_members(_shop_facts(spark, sf_dir))
+    return A.type_members(materialize(_shop_facts(spark, sf_dir), "facts"))
 
 
 @query(f"""
@@ -118,13 +118,13 @@ SELECT query_id::VARCHAR AS query_id, type, member, rnk::INT AS rnk FROM (SELECT
 def member_resolution(spark, sf_dir):
     """Members of each order's customer variable, over embedded types, those of the order first."""
     q = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("query_id")).distinct()
-    return A.members_for(q.select("query_id", F.col("query_id").alias("doc"), F.array(F.lit("x")).alias("chain")), _shop_facts(spark, sf_dir))
+    return A.members_for(q.select("query_id", F.col("query_id").alias("doc"), F.array(F.lit("x")).alias("chain")), materialize(_shop_facts(spark, sf_dir), "facts"))
 
 
 @query()
 def synthesized(spark, sf_dir):
     """Expressions for every variable's type in documents and pages."""
-    facts = A.extract(_code(spark, sf_dir))
+    facts = materialize(A.extract(_code(spark, sf_dir)), "facts")
     goals = A.of_kind(facts, "var", k1="var", v="type", k2="shape").groupBy("doc", "type").agg(F.max("shape").alias("shape"))
     return A.synthesize(goals.withColumn("query_id", F.concat_ws("/", "doc", "type")), facts)
 
@@ -167,11 +167,15 @@ def tuned_weights(spark, sf_dir):
 
 @query()
 def complete_lines(spark, sf_dir):
-    """The four best continuations, over the sources the README names, of the first eight characters of each document's last line."""
-    d = texts(spark, sf_dir)
-    index, bigrams = materialize(L.line_index(d), "index"), materialize(L.line_grams(d, 1), "bigrams")
+    """The four best continuations of the first eight characters of each document's last line, over all sources but a model's and edits."""
+    d = materialize(texts(spark, sf_dir), "texts")
+    index, bigrams, trigrams = materialize(L.line_index(d), "index"), materialize(L.line_grams(d, 1), "bigrams"), materialize(L.line_grams(d, 2), "trigrams")
     w = Window.partitionBy("doc_id").orderBy("pos")
-    at = L.kept_lines(d, "doc_id", "text", "lang").withColumns({"prev1": F.lag("line").over(w), "r": F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("pos")))}).where("r = 1")
-    q = at.select(F.col("doc_id").alias("query_id"), F.concat(F.lit("d"), "doc_id").alias("doc"), "lang", F.substring("line", 1, 8).alias("prefix"), "prev1", F.lit("").alias("rest"), F.lit("").alias("tail"))
-    facts = materialize(A.extract(d.select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "text")), "facts")
-    return O.complete(q, index, bigrams, facts).withColumn("score", F.round("score", 6))
+    at = L.kept_lines(d, "doc_id", "text", "lang").withColumns({"prev1": F.lag("line").over(w), "prev2": F.lag("line", 2).over(w), "r": F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("pos")))}).where("r = 1")
+    name = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
+    before = F.array_join(F.slice(F.split("text", "\n"), 1, F.col("pos")), "\n")
+    q = at.join(d.select("doc_id", "text"), "doc_id").select(F.col("doc_id").alias("query_id"), name.alias("doc"), "lang", F.substring("line", 1, 8).alias("prefix"), "prev1", "prev2", before.alias("before"), "pos", (F.col("pos") == 0).alias("thin"))
+    docs = d.select(name.alias("doc"), "text")
+    facts = materialize(A.extract(docs.withColumnRenamed("doc", "doc_id")), "facts")
+    names = materialize(T.scope(X.with_tokens(docs), key="doc").withColumn("from_folder", F.lit(False)), "scope")
+    return O.complete(q, index, bigrams, facts, True, trigrams=trigrams, docs=docs, starts=T.file_starts(d), scope=names).withColumn("score", F.round("score", 6))

@@ -11,6 +11,7 @@ from quillframe.operators import facts as A
 from quillframe.operators import goals as G
 from quillframe.operators import symbols as S
 from quillframe.plans.queries import query
+from quillframe.shared import materialize
 
 STORE = """package store
 
@@ -73,6 +74,10 @@ def _docs(spark):
     return spark.createDataFrame([("box.py", BOX), ("main.go", MAIN), ("store.go", STORE)], "doc_id string, text string")
 
 
+def _facts(spark):
+    return materialize(A.extract(_docs(spark)), "facts")  # read by many joins
+
+
 def values(columns: str, rows: list[tuple]) -> str:
     """SQL that lists ``rows`` as they stand."""
     names = [c.split()[0] for c in columns.split(", ")]
@@ -116,7 +121,7 @@ def fixture_symbols(spark, sf_dir):
 ]))
 def fixture_call_members(spark, sf_dir):
     """What is used of functions' results in three small programs."""
-    return A.call_members(A.extract(_docs(spark)))
+    return A.call_members(_facts(spark))
 
 
 _CURSORS = [
@@ -135,13 +140,13 @@ _GOALS = [(1, "Entry", "*", "x"), (2, "Entry", "*", "one"), (3, "Entry", "", Non
 @query(values("query_id BIGINT, type VARCHAR, shape VARCHAR, target VARCHAR", _GOALS))
 def fixture_goals(spark, sf_dir):
     """The types that cursors in small programs demand."""
-    return G.goals(_cursors(spark), A.extract(_docs(spark))).select("query_id", "type", "shape", "target")
+    return G.goals(_cursors(spark), _facts(spark)).select("query_id", "type", "shape", "target")
 
 
 @query(values("query_id BIGINT, text VARCHAR, rnk INT", [(5, " *one)", 1), (5, ' "done")', 2), (5, ' "k")', 3), (7, " ErrMissing)", 1), (7, " NotFoundError)", 2)]))
 def fixture_arguments(spark, sf_dir):
     """Arguments at cursors in small programs."""
-    return G.arguments(_cursors(spark), A.extract(_docs(spark))).select("query_id", "text", "rnk")
+    return G.arguments(_cursors(spark), _facts(spark)).select("query_id", "text", "rnk")
 
 
 @query(values("query_id BIGINT, text VARCHAR, rnk INT", [
@@ -149,8 +154,8 @@ def fixture_arguments(spark, sf_dir):
 ]))
 def fixture_synthesis(spark, sf_dir):
     """Expressions of the demanded type for two cursors."""
-    facts = A.extract(_docs(spark))
-    goals = G.goals(_cursors(spark).where("query_id IN (1, 6)"), facts)
+    facts = _facts(spark)
+    goals = materialize(G.goals(_cursors(spark).where("query_id IN (1, 6)"), facts), "goals")
     return A.synthesize(goals, facts).select("query_id", "text", "rnk")
 
 

@@ -33,9 +33,12 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(spark, sf_dir: str) -> DataFrame:
-    """Distinct documents (doc_id, text, lang, source), dealt evenly: a file of one row group would leave lexing to one task."""
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return C.distinct_texts(table(spark, sf_dir, "documents").repartition(n, "doc_id"), "doc_id", "text", "lang", "source")
+    """Distinct documents (doc_id, text, lang, source). Only a file of few row groups, which would leave lexing to as few tasks, is dealt anew."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    n = spark.sparkContext.defaultParallelism
+    if docs._jdf.queryExecution().toRdd().getNumPartitions() < n:
+        docs = docs.repartition(n, "doc_id")
+    return C.distinct_texts(docs, "doc_id", "text", "lang", "source")
 
 
 def lexed(spark, sf_dir: str) -> DataFrame:
@@ -120,7 +123,7 @@ SELECT query_id, rest, cnt, rnk::INT AS rnk FROM (SELECT *, {TOP('query_id', 'cn
 """)
 def line_prefix_complete(spark, sf_dir):
     """The four best continuations of every line's first six characters."""
-    idx = L.line_index(texts(spark, sf_dir))
+    idx = materialize(L.line_index(texts(spark, sf_dir)), "index")
     contexts = idx.select(F.substring("line", 1, 6).alias("query_id")).distinct().withColumn("prefix", F.col("query_id"))
     return L.prefix_complete(contexts, idx, k=4)
 

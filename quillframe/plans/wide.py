@@ -19,6 +19,7 @@ from quillframe.operators import symbols as S
 from quillframe.operators import tables as T
 from quillframe.plans.more import KIND_SQL, kind
 from quillframe.plans.queries import ALL_LINES, EXPLODED, GRAM, INDEX, LEXED, LINES, NORM, RAW, TOKENS, TOP, WORDS, lexed, query, table, texts
+from quillframe.shared import materialize
 
 _IDENT = f"'^[A-Za-z_${X.HIGH}][A-Za-z_${X.HIGH}0-9-]*$'"
 _IS_NAME = lambda t: f"(regexp_matches({t}, {_IDENT}) AND {t} NOT IN ({WORDS}))"
@@ -58,7 +59,7 @@ SELECT query_id, text, cnt, round(qual, 9) AS qual, rnk::INT AS rnk FROM (SELECT
 """)
 def masked_adapt(spark, sf_dir):
     """Continuations of like-shaped lines for every line's first half, names renamed."""
-    idx = L.line_index(texts(spark, sf_dir))
+    idx = materialize(L.line_index(texts(spark, sf_dir)), "index")
     contexts = idx.select(F.expr("substring(line, 1, length(line) div 2)").alias("query_id")).distinct().withColumn("prefix", F.col("query_id"))
     return P.adapt(contexts, idx).withColumn("qual", F.round("qual", 9))
 
@@ -111,8 +112,8 @@ SELECT query_id, rest, rnk::INT AS rnk FROM (SELECT *, {TOP('query_id', 'o, rest
 """)
 def lookup_lines(spark, sf_dir):
     """Ten continuations of each line's first five characters, those of one source first."""
-    d = texts(spark, sf_dir)
-    idx = L.line_index(d)
+    d = materialize(texts(spark, sf_dir), "texts")
+    idx = materialize(L.line_index(d), "index")
     q = idx.select(F.substring("line", 1, 5).alias("query_id")).distinct().withColumn("prefix", F.col("query_id"))
     return K.lookup_lines(q, idx, L.line_index(d.where("source = 'src1'")))
 
@@ -161,8 +162,6 @@ SELECT query_id, tok, round(p, 9) AS p FROM d WHERE p > 0.01
 """)
 def language_next(spark, sf_dir):
     """Tokens that the language makes likely, over one per cent, after each document's last token."""
-    from quillframe.shared import materialize
-
     lx = materialize(lexed(spark, sf_dir), "lexed")
     q = lx.where(F.size("toks") > 1).select(F.col("doc_id").alias("query_id"), "lang", F.expr("toks[size(toks) - 2]").alias("prev"))
     return T.language_blend(T.language_bigrams(lx).drop("rnk"), T.language_unigrams(lx).drop("rnk"), q).where("p > 0.01").withColumn("p", F.round("p", 9))
@@ -176,8 +175,6 @@ h AS (SELECT *, sum(cnt) OVER (PARTITION BY query_id)::BIGINT AS tot FROM (SELEC
 """)
 def cache_next(spark, sf_dir):
     """Tokens over two per cent after each document's last token, by the counts of its source."""
-    from quillframe.shared import materialize
-
     t = materialize(lexed(spark, sf_dir).withColumn("source", F.coalesce("source", F.lit("\x00"))), "lexed")
     q = t.select(F.col("doc_id").alias("query_id"), "source", F.filter("toks", lambda x: x != X.END).alias("t")).where(F.size("t") > 0)
     return N.scoped_cache(t, "source", q.select("query_id", "source", F.expr("slice(t, size(t), 1)").alias("ctx")), order=2).where("pc > 0.02").withColumn("pc", F.round("pc", 9))
@@ -218,8 +215,6 @@ WITH {EXPLODED}, t AS (SELECT tok, count(*) / (SELECT count(*) FROM tk)::DOUBLE
 """)
 def rest_probability(spark, sf_dir):
     """Geometric mean of the tokens' shares in each document."""
-    from quillframe.shared import materialize
-
     lx = materialize(lexed(spark, sf_dir), "lexed")
     c = T.token_counts(lx)
     n = c.agg(F.sum("cnt")).head()[0] or 1

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillframe.functions import text as X
+from quillframe.shared import materialize
 
 
 def read_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
@@ -38,9 +39,17 @@ def mark_duplicates(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def distinct_texts(docs: DataFrame, key: str, text: str, *keep: str) -> DataFrame:
-    """One row, that with the smallest key, for each distinct text; null texts are left out."""
-    marked = mark_duplicates(docs.select(key, text, *keep), key, text)
-    return marked.where(F.col("dup_of").isNull() & F.col(text).isNotNull()).drop("dup_of")
+    """One row, that with the smallest key, for each distinct text; null texts are left out.
+
+    Keys and digests alone are grouped. Those of the repeated rows are written as
+    a table, whose size Spark knows: while it is small it is broadcast, and no
+    text is shuffled.
+    """
+    rows = docs.select(key, text, *keep).where(F.col(text).isNotNull()).withColumn("_digest", F.sha2(F.col(text).cast("binary"), 256))
+    dig = rows.select(key, "_digest")
+    first = dig.groupBy("_digest").agg(F.min(key).alias("_first"), F.count("*").alias("_c")).where("_c > 1")
+    again = materialize(dig.join(first, "_digest").where(F.col(key) != F.col("_first")).select(key, "_digest").distinct(), "repeated")
+    return rows.join(again, [key, "_digest"], "left_anti").drop("_digest")
 
 
 def manifest_changes(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -96,15 +96,15 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, limit: int) -> Iterat
     out, path, n, size, part = None, "", 0, 0, 0
     done = []
     for batch in batches:
-        for k in range(batch.num_rows):
-            page, url, html, digest, first, length = (batch.column(c)[k].as_py() for c in ("page_id", "url", "html", "digest", "first", "payload_bytes"))
+        small = [batch.column(c).to_pylist() for c in ("page_id", "url", "digest", "first", "payload_bytes")]
+        for html, page, url, digest, first, length in zip(batch.column("html"), *small):  # one page at a time
             if out is None:
                 name = f"part-{task.partitionId():06d}-{part:04d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}.warc.gz"
                 path, n, size, part = f"{base}/{name}", 0, 0, part + 1
                 out = store.open_output_stream(path, compression=None)
             me = f"urn:page:{page}" if page is not None else f"urn:uuid:{uuid.uuid4()}"
             again = first is not None and first != page
-            block = http_head(length) + (b"" if again else (html or "").encode())
+            block = http_head(length) + (b"" if again else html.as_buffer().to_pybytes())
             member = record("revisit" if again else "response", me, block, digest, url, f"urn:page:{first}" if again else None)
             out.write(member)
             n, size = n + 1, size + len(member)

@@ -77,7 +77,8 @@ def filter_urls(pages: DataFrame, *, page_id: str = "page_id", url: str = "url",
     )
     train = lambda what: F.count_if((F.col("part") != 0) & (F.col("decided") == what))
     counts = materialize(grams.groupBy("g").agg(train("allow").alias("na"), train("block").alias("nr")), "grams")
-    scored = _log_ratio(counts)
+    # As a table its size is known: a small model is broadcast, and no character is shuffled; else frequent runs can be split.
+    scored = materialize(_log_ratio(counts), "ratios")
     by_row = grams.select("rid", "g").join(scored, "g").groupBy("rid").agg((F.sum("lr") / F.count("*")).alias("llr"))
     out = materialize(rows.select("rid", "page_id", "host", "path", "rule", "decided", "part").join(by_row, "rid"), "scored")
     of = lambda what: (F.col("part") == 0) & (F.col("decided") == what)

@@ -7,7 +7,7 @@ return those columns. Further columns of ``docs`` are passed on.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillframe.llm import langid, minhash, mixing, packing, quality
@@ -16,16 +16,23 @@ from quillframe.shared import materialize
 #: No SQL: the first, second and last stages have no counterpart in it.
 ORACLE_SQL = None
 
-_ADDED = "_stage_result"
 LEAST_SCORE = 0.5
 SIMILARITY = 80
 COLLECTIONS = 24
 
 
+def _new(docs: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``docs`` does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps; those without words go."""
-    rated = docs.withColumn(_ADDED, quality.rate(docs, quality.fit(docs)))
-    return rated.where(F.col(_ADDED)["keep"]).drop(_ADDED)
+    rated = _new(docs, "_rated")
+    return docs.withColumn(rated, quality.rate(docs, quality.fit(docs))).where(F.col(rated)["keep"]).drop(rated)
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,18 +43,29 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     model = langid.fit(docs)
     if not model.labels:
         return docs
-    known = docs.withColumn(_ADDED, langid.predict(docs, model))
-    return known.where((F.col(_ADDED)["lang_pred"] != "und") & (F.col(_ADDED)["score"] >= LEAST_SCORE)).drop(_ADDED)
+    told = _new(docs, "_told")
+    known = docs.withColumn(told, langid.predict(docs, model))
+    return known.where((F.col(told)["lang_pred"] != "und") & (F.col(told)["score"] >= LEAST_SCORE)).drop(told)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links of similarity 0.8 or more connect: that with the smallest doc_id.
 
-    Rows that share a doc_id are one document and stay together; a null id is one id.
+    Rows that share a doc_id are one document and stay together. A row without id
+    is a document by its text, of which one row stays; texts without a word are
+    like nothing, and stay.
     """
-    found = minhash.near_duplicates(docs, percent=SIMILARITY, groups=COLLECTIONS)
-    kept = materialize(found.where("kept").select(F.col("doc_id").alias("_kept_id")).distinct(), "kept")
-    return docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
+    ident, place = _new(docs, "_ident"), _new(docs, "_place")
+    own = F.coalesce("doc_id", F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("text"), 2))  # after all ids that count from 0
+    found = minhash.near_duplicates(docs.select(own.alias("doc_id"), "text"), percent=SIMILARITY, groups=COLLECTIONS)
+    kept = materialize(found.where("kept").select(F.col("doc_id").alias(ident)).distinct(), "kept")
+    rows = docs.withColumn(ident, own).join(kept.hint("merge"), ident, "left_semi").drop(ident)
+    if docs.where("doc_id IS NULL").isEmpty():
+        return rows
+    some = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    unnamed = rows.where(F.col("doc_id").isNull() & some)
+    unnamed = unnamed.withColumn(place, F.row_number().over(Window.partitionBy(F.xxhash64("text")).orderBy(F.length("text")))).where(F.col(place) == 1).drop(place)
+    return rows.where(F.col("doc_id").isNotNull() | ~some).unionByName(unnamed)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,10 +75,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     leaves = materialize(mixing.document_leaves(docs), "leaves_of_documents")
     taken = mixing.mix(leaves, ["domain", "lang", "source"], mixing.weights())
-    times = taken.groupBy("doc_id").agg(F.max(F.col("epochs_taken") + (F.col("prefix_tokens") > 0).cast("long")).alias("_times"))
-    times = materialize(times.select(F.col("doc_id").alias("_taken_id"), "_times"), "taken")
-    again = docs.join(times.hint("merge"), docs["doc_id"].eqNullSafe(times["_taken_id"]))
-    return again.withColumn("_times", F.explode(F.expr("sequence(1, int(_times))"))).drop("_times", "_taken_id")
+    times, ident = _new(docs, "_times"), _new(docs, "_taken_id")
+    n = taken.groupBy(F.col("doc_id").alias(ident)).agg(F.max(F.col("epochs_taken") + (F.col("prefix_tokens") > 0).cast("long")).alias(times))
+    n = materialize(n, "taken")
+    again = docs.join(n.hint("merge"), F.col("doc_id").eqNullSafe(F.col(ident)))
+    return again.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).drop(times, ident)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -54,3 +54,39 @@ def test_many_equal_vectors_give_the_smallest_ids(spark):
     got = ann.search(df, F.col("vec_id") % 50 == 0).collect()
     assert {(r["query_id"], r["vec_id"]) for r in got if r["query_id"] == 150} == {(150, j) for j in range(5)}
     assert {r["vec_id"] for r in got if r["query_id"] == 0} == {1, 2, 3, 4, 5}
+
+
+def test_recall_on_the_registered_table(spark):
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    rows = [(r["vec_id"], r["embedding"]) for r in vectors.collect()]
+    want = plain(rows, lambda i: i % 50 == 0, 5)
+    got = {}
+    for r in ann.query(spark, "/root/testdata/sf0.1").collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert sum(len(got[q] & {j for j, _ in want[q]}) for q in want) / (5 * len(want)) >= 0.9
+
+
+def test_queries_that_find_too_few_meet_all_vectors_and_lengths_stay_apart(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=8 + i % 2).astype("f4").tolist()) for i in range(240)]
+    df = spark.createDataFrame([(*r, None) for r in rows], SCHEMA)
+    narrow = ann.Setting(tables=1, hashes=12, step=0.1, probes=2)
+    got = {}
+    for r in ann.search(df, F.col("vec_id") % 5 == 0, setting=narrow, sweep=7).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    want = {}
+    for odd in (0, 1):
+        want |= plain([r for r in rows if r[0] % 2 == odd], lambda i: i % 5 == 0, 5)
+    assert got == {q: [j for j, _ in v] for q, v in want.items()}
+
+
+def test_a_fit_visits_less_where_neighbours_are_closer(spark):
+    shares = []
+    for noise in (0.1, 1.0):
+        rng = np.random.default_rng(5)
+        rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(60, 16))[rng.integers(0, 60, 1500)] + noise * rng.normal(size=(1500, 16)))]
+        index = ann.prepare(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 10 == 0)
+        made = ann.fit(index)
+        assert made.recall >= ann.WANTED
+        shares.append(made.visited)
+    assert shares[0] < shares[1] / 2

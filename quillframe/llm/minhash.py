@@ -54,7 +54,7 @@ def word_hashes(data: np.ndarray, offs: np.ndarray, piece: int = PIECE_BYTES) ->
         if a and len(start) and start[0] == a and not cut[a] and starts and starts[-1][-1] + lengths[-1][-1] == a:
             # The first word goes on from the piece before.
             lift = np.uint64(pow(int(_MULT), int(lengths[-1][-1]), 1 << 64))
-            sums[-1][-1] += each[0] * lift
+            sums[-1][-1:] += each[:1] * lift
             lengths[-1][-1] += length[0]
             start, length, each = start[1:], length[1:], each[1:]
         if len(start):

@@ -80,7 +80,7 @@ def statistics(data: np.ndarray, offs: np.ndarray, piece: int = PIECE_BYTES) ->
             line_at = a + int(starts[-1])
         each = np.add.reduceat(mix64(y.astype(np.uint64) + np.uint64(1) + place.astype(np.uint64) * np.uint64(257)), starts)
         if not fresh:
-            line_hash[-1][-1] += each[0]
+            line_hash[-1][-1:] += each[:1]
             each, starts = each[1:], starts[1:]
         if len(starts):
             line_row.append(row[starts])

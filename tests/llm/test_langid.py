@@ -122,3 +122,9 @@ def test_a_table_in_parts_gives_the_same(spark):
     rows = list(langid.count_grams(iter(docs.where("lang IS NOT NULL AND text IS NOT NULL").select(F.col("lang").alias("label"), "text").toArrow().to_batches()), 3, "label", "text"))
     plain = langid.freeze(pa.Table.from_batches(rows).to_pandas(), 3)
     assert np.allclose(one.code_lengths(*data), plain.code_lengths(*data), rtol=1e-6)
+
+
+def test_ties_go_to_the_label_that_sorts_first(spark):
+    docs = spark.createDataFrame([(1, "abc abc", "b", 0.0), (2, "abc abc", "a", 0.0), (3, "abc", None, 0.0)], SCHEMA)
+    got = docs.select(langid.predict(docs, langid.fit(docs)).alias("p")).collect()
+    assert {r["p"]["lang_pred"] for r in got} == {"a"} and all(abs(r["p"]["score"] - 0.5) < 1e-9 for r in got)

@@ -81,3 +81,42 @@ def test_overlaps_equal_set_intersections():
         for j in range(80):
             if i != j:
                 assert c[i, j] == len(np.intersect1d(sets[i], sets[j]))
+
+
+def test_registered_parameters_equal_brute_force(spark):
+    rng = random.Random(7)
+    texts = [t for k in range(8) for t in family(rng, 20, words=40 + 15 * k, edits=3)]
+    docs = list(enumerate(texts))
+    got = {tuple(r) for r in minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == plain(docs, 85)
+
+
+def test_near_copies_without_ids_are_linked(spark):
+    words = [f"w{k}" for k in range(80)]
+    a, b = " ".join(words), " ".join([*words, "more"])
+    c = " ".join(f"v{k}" for k in range(80))
+    rows = [(None, a), (7, b), (None, c), (None, c + " more"), (3, "quite other words stand in this one")]
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(None, 76, 7), (7, 77, 7), (None, 76, None), (None, 77, None), (3, 3, 3)], key=str)
+
+
+def test_a_chain_of_chance_collisions_links_nothing_that_is_not_alike(spark):
+    # Each text shares half of its words in a row with the next, so candidates meet, but no two are alike.
+    words = [f"w{k}" for k in range(60 * 40)]
+    docs = [(k, " ".join(words[30 * k : 30 * k + 60])) for k in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = minhash.near_duplicates(df, groups=24, width=1).collect()  # single minhashes: nearly all pairs in the chain collide
+    assert all(r["component_id"] == r["doc_id"] and r["kept"] for r in got) and len(got) == 60
+
+
+def test_pieces_do_not_change_words_and_very_long_rows_pass():
+    rng = np.random.default_rng(5)
+    text = "".join(rng.choice(list("abC  \n\t"), 3000))
+    data, offs = utf8_bytes(pa.array([text, "", "x" * 50, text[:77] + "y"]))
+    whole = minhash.word_hashes(data, offs)
+    for piece in (1, 2, 7, 64, 1000):
+        h, wo = minhash.word_hashes(data, offs, piece)
+        assert (h == whole[0]).all() and (wo == whole[1]).all()
+    long = "some words of a very long text " * 1_500_000  # 46 MB
+    s = minhash.signatures(pa.array([long, "some words of a very long text " * 3]), 5, 2, 2)
+    assert s.field("n").to_pylist() == [7, 7] and s.field("d1").to_pylist()[0] == s.field("d1").to_pylist()[1]

@@ -33,10 +33,10 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(spark, sf_dir: str) -> DataFrame:
-    """Distinct documents (doc_id, text, lang, source). Only a file of few row groups, which would leave lexing to as few tasks, is dealt anew."""
+    """Distinct documents (doc_id, text, lang, source). Only few files, whose few row groups would leave lexing to as few tasks, are dealt anew."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     n = spark.sparkContext.defaultParallelism
-    if docs._jdf.queryExecution().toRdd().getNumPartitions() < n:
+    if len(docs.inputFiles()) < n:
         docs = docs.repartition(n, "doc_id")
     return C.distinct_texts(docs, "doc_id", "text", "lang", "source")
 

@@ -39,3 +39,15 @@ def test_tuning_only_improves(spark):
     weights, rate = E.tune(c, {"a": [0.5, 3.0], "b": [0.5, 2.0]})
     assert (weights, rate) == ({"a": 3.0, "b": 1.0}, 1.0)
     assert E.tune(c.limit(0), {"a": [2.0]}) == ({"a": 1.0}, 0.0)
+
+
+def test_lines_are_ranked_before_they_meet_queries(spark, tmp_path):
+    """Documents with one start make as many rows as there are documents and ranks, not documents times lines."""
+    from quillframe.plans.more import eval_hit_rates
+
+    rows = [(i, f"start of line {i:03d}", "en", "s", 1) for i in range(300)] + [(300 + i, f"start of line {i:03d}\nzz other", "en", "s", 1) for i in range(3)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    df = eval_hit_rates(spark, str(tmp_path))
+    assert [tuple(r) for r in df.collect()] == [("en", 303, round(2 / 303, 9), round(7 / 303, 9))]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join Inner") < plan.index("row_number")  # the ranking lies below the join

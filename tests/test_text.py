@@ -131,3 +131,10 @@ def test_suggestions(spark):
 def test_sql_functions(spark):
     X.register(spark)
     assert spark.sql("SELECT normalize_line('  a   b ') AS n, masked_line('x = y') AS m, size(lex_tokens('a b')) AS k").head().asDict() == {"n": "a b", "m": "\x02 = \x02", "k": 4}
+
+
+def test_foreign_words_are_sought_only_where_a_part_of_the_line_equals_one(spark):
+    lines = ["xdef y", "def", "a def.b", "_def def_", "None\ndef", "x\nNone", "elifdef", "$None", "(None)", "", None]
+    assert one(spark, lambda c: X.foreign_line(c, F.lit("go")), *lines) == [False, True, True, False, True, False, False, False, True, False, None]
+    shown = str(X.foreign_line(F.col("id"), F.lit("go")))
+    assert "(?:^|" in shown and "|(?:^|" not in shown  # one pattern for the words of a language, not one alternative with its own ends for each

@@ -161,3 +161,27 @@ def test_commit_drafts(spark):
     gen = spark.createDataFrame([(2, 0, "drop old path\nmore"), (2, 1, "fix: x"), (2, 2, "drop old path")], "id int, seq int, text string")
     out = [r["message"] for r in commits.drafts(df.where("id = 2"), gen).orderBy("rank").collect()]
     assert out == ["refactor(engine): drop old path", "fix: x", "refactor(engine): update 2 files"]
+
+
+def test_infix_lines_are_joined_by_the_rarest_run_alone(spark):
+    """Only runs, without their lines, are counted; no exchange carries a line for each of its runs."""
+    index = spark.createDataFrame([(f"the same start {i} and end",) for i in range(50)] + [("the rare needle here",)], "line string")
+    q = spark.createDataFrame([(1, "rare needle"), (2, "same start 7"), (3, "absent text")], "query_id long, needle string")
+    df = lines.infix_complete(q, index)
+    assert {tuple(r) for r in df.collect()} == {(1, "here", 1), (2, "and end", 1)}
+    assert "LeftSemi" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_shares_of_a_context_are_taken_once_for_all_its_queries(spark):
+    counts = spark.createDataFrame([("s", 1, [], "a", 3), ("s", 1, [], "b", 1), ("s", 2, ["a"], "b", 9), ("s", 2, ["a"], "c", 1), ("t", 1, [], "a", 1)], "k string, n int, ctx array<string>, tok string, cnt long")
+    q = spark.createDataFrame([(i, "s", ["a"]) for i in range(5)] + [(8, "s", ["z"]), (9, "t", ["a"]), (10, "u", ["a"])], "query_id long, k string, ctx array<string>")
+    got = {tuple(r) for r in ngram.cache_distribution(counts, q, 2, ("k",), over=0.1).collect()}
+    assert got == {(i, "b", 0.9, 10) for i in range(5)} | {(8, "a", 0.75, 4), (8, "b", 0.25, 4), (9, "a", 1.0, 1)}
+
+
+def test_scope_judges_a_document_once(spark):
+    toks = spark.createDataFrame([(1, ["a", " ", "bb", "a", "<eof>"]), (2, ["x", "<eof>"])], "doc_id long, toks array<string>")
+    df = tables.scope(toks)
+    assert {tuple(r) for r in df.collect()} == {(1, "a", 2, True), (1, "bb", 1, True), (2, "x", 1, True)}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate posexplode") < plan.index("size(filter(")  # found below the generator, not for each token

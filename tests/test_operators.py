@@ -185,3 +185,15 @@ def test_scope_judges_a_document_once(spark):
     assert {tuple(r) for r in df.collect()} == {(1, "a", 2, True), (1, "bb", 1, True), (2, "x", 1, True)}
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate posexplode") < plan.index("size(filter(")  # found below the generator, not for each token
+
+
+def test_satisfies_compares_classes_of_equal_members_alone(spark):
+    need = [(f"i{k}", m) for k in range(6) for m in ("a(", "b(")] + [("one", "c("), ("x", "a("), ("x", "b("), ("x", "z("), ("field", "a"), (None, "a("), ("i0", None)]
+    have = [(f"t{k}", m) for k in range(7) for m in ("a(", "b(", "c(")] + [("i1", "a("), ("i1", "b("), ("t9", "c("), ("t9", "c("), (None, "a("), ("u", None)]
+    df = symbols.satisfies(spark.createDataFrame(need, "iface string, member string"), spark.createDataFrame(have, "type string, member string"))
+    types = {f"t{k}" for k in range(7)}
+    want = {(f"i{k}", t) for k in range(6) for t in types | {"i1"} if t != f"i{k}"} | {("one", t) for t in types | {"t9"}}
+    rows = [tuple(r) for r in df.collect()]
+    assert set(rows) == want and len(rows) == len(want)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Project") and plan.index("Join") < plan.index("Aggregate") and plan.count("Join") >= 6  # the last joins expand classes, above every grouping

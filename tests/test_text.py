@@ -138,3 +138,40 @@ def test_foreign_words_are_sought_only_where_a_part_of_the_line_equals_one(spark
     assert one(spark, lambda c: X.foreign_line(c, F.lit("go")), *lines) == [False, True, True, False, True, False, False, False, True, False, None]
     shown = str(X.foreign_line(F.col("id"), F.lit("go")))
     assert "(?:^|" in shown and "|(?:^|" not in shown  # one pattern for the words of a language, not one alternative with its own ends for each
+
+
+def test_even_blanks_need_no_tidying(spark):
+    texts = ["a b\nc d", "", " ", "a", " a", "a ", "a \n", "a \nb", "\n a", "a\n", "a\r\nb", "a\tb", "a  b", "\"x  y\" z", "a b\n\nc", "é b\n", "a \n ", "\n", "'a\n b'", "a \\  b"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(99, None)], "i long, t string")
+
+    def plain(t):
+        lines, out = t.replace("\r", "").split("\n"), []
+        raw = [m.group() for m in re.finditer(X._PYTHON_TOKEN, t) if m.group() != "\r"]
+        for k, x in enumerate(raw):
+            first, last = k == 0 or raw[k - 1] == "\n", k + 1 == len(raw) or raw[k + 1] == "\n"
+            out += [] if x[0] in " \t" and first and last else [x if first or x[0] not in " \t" else " "]
+        return out
+
+    got = {r["i"]: r["k"] for r in df.select("i", X.tokens(F.col("t"), end=False).alias("k")).collect()}
+    assert got == {i: plain(t) for i, t in enumerate(texts)} | {99: None}
+    assert [X.lex(t, end=False) for t in texts] == [plain(t) for t in texts]
+
+
+def test_a_text_is_lexed_once(spark):
+    from quillframe.operators import lines, tables
+
+    df = spark.createDataFrame([(1, "a b"), (2, "b")], "doc_id long, text string").repartition(2).withColumn("lang", F.lit("x"))
+    lexed = X.with_tokens(df)
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    for d in (tables.language_unigrams(lexed), tables.language_bigrams(lexed)):
+        assert not any("regexp_extract_all(" in x for x in plan(d))  # counts that are read twice are written
+    for d in (tables.structure_table(lexed), tables.token_counts(lexed)):
+        assert any("regexp_extract_all(" in x for x in plan(d)) and not any("Filter" in x and "regexp_extract_all(" in x and "<eof>" in x for x in plan(d))
+    for d in (lines.kept_lines(df), lines.line_index(df)):
+        assert any("split(" in x for x in plan(d)) and not any("Filter" in x and "split(" in x for x in plan(d))
+
+
+def test_first_token_of_a_line(spark):
+    rows = [(t,) for t in ["foo bar", "\"a b\" c", "// x", "a", "  ", " :=x", "9a.b c"]]
+    df = spark.createDataFrame(rows, "t string")
+    assert all(r["a"] == r["b"] for r in df.select(X.first_line_token(F.col("t")).eqNullSafe(F.get(X.line_tokens(F.col("t")), F.lit(0))).alias("a"), F.lit(True).alias("b")).collect())
